@@ -13,6 +13,8 @@ different components within one bucket is compared, block by block on signatures
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -54,8 +56,10 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("n long, set_key binary, sig binary, bands array<long>")
-def _sketch(batches: "Iterator[pd.Series]") -> "Iterator[pd.DataFrame]":  # noqa: F821
+SKETCH = "n long, set_key binary, sig binary, bands array<long>"
+
+
+def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for texts in batches:
         rows = []
@@ -77,13 +81,11 @@ def _estimates(a: pd.Series, b: pd.Series) -> np.ndarray:
     return (x == y).mean(axis=1)
 
 
-@F.pandas_udf("double")
 def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_estimates(a, b))
 
 
-@F.pandas_udf("boolean")
-def _linked(batches: "Iterator[tuple[pd.Series, pd.Series]]") -> "Iterator[pd.Series]":  # noqa: F821
+def _linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     hashes = WordHashes()
     for left, right in batches:
         out, last, kept = [], None, None
@@ -102,7 +104,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     own = written(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     both = pairs.join(own.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
     both = both.join(own.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-    return both.where(_linked("a", "b")).select("u", "v").distinct()
+    return both.where(F.pandas_udf(_linked, "boolean")("a", "b")).select("u", "v").distinct()
 
 
 def _compare(block: pd.DataFrame) -> pd.DataFrame:
@@ -146,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    sketched = plain.select("doc_id", _sketch("text").alias("s"))
+    sketched = plain.select("doc_id", F.pandas_udf(_sketch, SKETCH)("text").alias("s"))
     sketched = written(sketched.select("doc_id", "s.*"), "sketches")
 
     named = sketched.where("doc_id IS NOT NULL AND n > 0")
@@ -162,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda name: sigs.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
     pairs = pairs.join(side("u"), "u").where("n_u > 0").join(side("v"), "v")
     pairs = pairs.where(F.lit(WHOLE) * F.least("n_u", "n_v") >= F.lit(PART) * F.greatest("n_u", "n_v"))
-    pairs = pairs.select("u", "v", _estimate("sig_u", "sig_v").alias("e")).where(F.col("e") >= LEAST_ESTIMATE)
+    pairs = pairs.select("u", "v", F.pandas_udf(_estimate, "double")("sig_u", "sig_v").alias("e")).where(F.col("e") >= LEAST_ESTIMATE)
     pairs = written(pairs.groupBy("u", "v").agg(F.max("e").alias("e")), "pairs")
 
     # a doc_id with several texts joins the classes of all of them
