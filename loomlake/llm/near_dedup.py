@@ -6,8 +6,8 @@ takes part in the search. 32 bands of 4 minima find classes that share a band; a
 with a probability of (1 - 0.75^4)^32 = 5e-6. Candidates are estimated on their signatures, and every link is confirmed
 on the full sets.
 
-No bucket is expanded into its pairs. In each bucket the members are paired with one hub, which differs from bucket to
-bucket; each class first confirms only its best estimate, and components are formed. Only what then still lies in
+No bucket is expanded into its pairs. In each bucket the members are paired with one hub, the member that meets most others
+in all of its buckets; each class first confirms only its best estimate, and components are formed. Only what then still lies in
 different components within one bucket is compared, block by block on signatures, and confirmed again.
 """
 
@@ -33,6 +33,8 @@ PART, WHOLE = 75, 100
 LEAST_ESTIMATE = 0.55
 #: Members of a bucket that are compared with another block at once.
 BLOCK = 1024
+#: Best estimates that a member confirms in each block before all of them are confirmed.
+TOP = 4
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, N_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -107,21 +109,31 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(F.pandas_udf(_linked, "boolean")("a", "b")).select("u", "v").distinct()
 
 
-def _compare(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of a bucket: rows of `left` against the others, in different components, similar on signatures."""
-    a, b = block[block.is_left], block[~block.is_left]
-    out = []
-    if len(a) and len(b):
-        y = np.frombuffer(b"".join(b.sig), np.uint8).reshape(-1, N_HASHES)
-        for rep, comp, n, sig in zip(a.rep, a.comp, a.n, a.sig, strict=True):
-            fits = (b.comp.values != comp) & (WHOLE * np.minimum(b.n.values, n) >= PART * np.maximum(b.n.values, n))
-            at = np.flatnonzero(fits)
-            at = at[(y[at] == np.frombuffer(sig, np.uint8)).mean(axis=1) >= LEAST_ESTIMATE]
-            out += [(min(rep, x), max(rep, x)) for x in b.rep.values[at].tolist()]
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+def _compare(top: int | None):
+    """Compares one block of a bucket: rows of `left` with the others, in different components, similar on signatures.
 
+    With `top`, a row keeps only so many of its best estimates.
+    """
 
-def _rest(members: DataFrame, sigs: DataFrame, comps: DataFrame) -> DataFrame:
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        a, b = block[block.is_left], block[~block.is_left]
+        out = []
+        if len(a) and len(b):
+            y = np.frombuffer(b"".join(b.sig), np.uint8).reshape(-1, N_HASHES)
+            comps, ns, reps = b.comp.values, b.n.values, b.rep.values
+            for rep, comp, n, sig in zip(a.rep, a.comp, a.n, a.sig, strict=True):
+                at = np.flatnonzero((comps != comp) & (WHOLE * np.minimum(ns, n) >= PART * np.maximum(ns, n)))
+                e = (y[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
+                at, e = at[e >= LEAST_ESTIMATE], e[e >= LEAST_ESTIMATE]
+                if top:
+                    at = at[np.argsort(-e, kind="stable")[:top]]
+                out += [(min(rep, x), max(rep, x)) for x in reps[at].tolist()]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return compare
+
+
+def _rest(members: DataFrame, sigs: DataFrame, comps: DataFrame, top: int | None = None) -> DataFrame:
     """Candidate pairs (u, v) that share a bucket and lie in different components.
 
     members: (key, rep, hub). The members outside the hub's component meet all members of their bucket; a bucket is cut
@@ -130,13 +142,13 @@ def _rest(members: DataFrame, sigs: DataFrame, comps: DataFrame) -> DataFrame:
     comp_of = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"{name}_comp"))
     rows = members.join(comp_of("rep"), "rep", "left").join(comp_of("hub"), "hub", "left")
     rows = rows.select("key", "rep", "size", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
-    rows = written(rows, "members")
+    rows = written(rows, "places")
     open_keys = rows.where("comp <> hub_comp").select("key").distinct()
     rows = rows.join(open_keys, "key", "left_semi").join(sigs, "rep")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     right = rows.select("key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(False).alias("is_left"), "rep", "comp", "n", "sig")
     left = rows.where("comp <> hub_comp").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("is_left"), "rep", "comp", "n", "sig")
-    return right.union(left).groupBy("key", "block").applyInPandas(_compare, "u long, v long").distinct()
+    return right.union(left).groupBy("key", "block").applyInPandas(_compare(top), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,9 +168,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = classes.select("rep", "n", "sig").distinct()
 
     bands = classes.select("rep", F.explode("bands").alias("key")).distinct()
-    # rep XOR key orders the members of each bucket differently, so that buckets have different hubs
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("hub")).where("size > 1")
-    members = written(bands.join(buckets.select("key", "size", F.col("hub").bitwiseXOR(F.col("key")).alias("hub")), "key"), "buckets")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(bands.join(sizes, "key"), "buckets")
+    # the text that copies were made from meets more of them than they meet each other: it is the hub of all its buckets
+    weights = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
+    hubs = shared.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
+    members = written(shared.join(hubs, "key"), "members")
 
     pairs = members.where("rep <> hub").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
     side = lambda name: sigs.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
@@ -177,11 +192,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = written(edges.union(_confirmed(best, plain)), "links")
     comps = components(edges)
 
-    comp_of = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-    apart = pairs.select("u", "v").join(comp_of("u"), "u", "left").join(comp_of("v"), "v", "left")
-    apart = apart.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v").join(best, ["u", "v"], "left_anti")
-    rest = written(apart.union(_rest(members, sigs, comps)).distinct().join(best, ["u", "v"], "left_anti"), "rest")
-    comps = components(edges.union(_confirmed(rest, plain)))
+    # most that is still apart joins by a best estimate; only what then remains apart needs each of its candidates confirmed
+    tried = best
+    for top in (TOP, None):
+        comp_of = lambda name, c=comps: c.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+        apart = pairs.select("u", "v").join(comp_of("u"), "u", "left").join(comp_of("v"), "v", "left")
+        apart = apart.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
+        more = apart.union(_rest(members, sigs, comps, top)).distinct().join(tried, ["u", "v"], "left_anti")
+        more = written(more, "more")
+        edges = written(edges.union(_confirmed(more, plain)), "links")
+        comps, tried = components(edges), tried.union(more)
 
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("least"))
     out = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class.groupBy("set_key").agg(F.min("least").alias("least")), "set_key", "left")

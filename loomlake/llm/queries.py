@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomlake.llm import sql
+from loomlake.llm.decontaminate import contamination_report
 from loomlake.llm.near_dedup import near_duplicates
+from loomlake.llm.secrets import secret_spans
+from loomlake.llm.sharding import hilbert_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op1_near_dedup": sql.OP1}
+SQL: dict[str, str] = {"op1_near_dedup": sql.OP1, "op2_decontamination": sql.OP2}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,3 +28,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(_table(spark, sf_dir, "documents"), 40)
+
+
+@_query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
