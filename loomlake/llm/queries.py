@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from loomlake.llm import sql
 from loomlake.llm.decontaminate import contamination_report
 from loomlake.llm.near_dedup import near_duplicates
+from loomlake.llm.packing import pack_documents
+from loomlake.llm.quality import quality
 from loomlake.llm.secrets import secret_spans
 from loomlake.llm.sharding import hilbert_shards
 
@@ -43,3 +45,13 @@ def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
