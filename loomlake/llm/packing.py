@@ -27,8 +27,6 @@ END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Documents that one task packs at once.
 GROUP_ROWS = 20_000
-#: Tails are packed in pieces of at most so many tokens, so that what others leave over is filled.
-TAIL = 768
 #: Words whose ids a worker remembers before it starts anew.
 CACHE_WORDS = 1 << 20
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -92,15 +90,8 @@ _WORKER: dict[str, TokenIds] = {}
 
 
 def pieces_of(n: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document: whole sequences, then a tail in even parts of at most TAIL."""
-    whole = n // CAPACITY
-    out = [(i * CAPACITY, CAPACITY) for i in range(whole)]
-    rest = n - whole * CAPACITY
-    if rest:
-        parts = -(-rest // TAIL)
-        cuts = [whole * CAPACITY + rest * i // parts for i in range(parts + 1)]
-        out += [(a, b - a) for a, b in zip(cuts, cuts[1:])]
-    return out
+    """(start, length) of the pieces of a document: whole sequences, then what is left."""
+    return [(i, min(CAPACITY, n - i)) for i in range(0, n, CAPACITY)]
 
 
 def cost(n: np.ndarray | int):

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from loomlake.llm.common import WordHashes, bounded_sample, small_batches, texts_of, windows, word_hashes, written
 
-N_TREES, SUBSAMPLE = 128, 256
+#: Small subsamples, since bad rows are not rare: in large ones they hide each other.
+N_TREES, SUBSAMPLE = 128, 64
 #: Rows of which the trees take their subsamples.
 FOREST_ROWS = 20_000
 #: Share of the labelled good rows that the threshold may lose.
@@ -25,22 +26,21 @@ MAX_LOSS = 0.001
 BINS = 1000
 WIDTH = 5
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_digits", "n_marks", "n_lines", "n_long_words")
-FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "marks", "line_words", "long_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_marks")
+FEATURES = ("word_length", "symbols", "marks")
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _SPACES = np.zeros(256, bool)
 _SPACES[list(b" \t\n\r\x0b\x0c")] = True
-_CLASSES = {"n_upper": range(65, 91), "n_digits": range(48, 58), "n_marks": [c for c in range(33, 127) if not chr(c).isalnum()]}
+_MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 
 
 def counts_of(data: bytes, hashes: WordHashes) -> dict[str, int]:
-    """The rule counts of one text; those of characters are of code points, upper case, digits and marks of ASCII ones."""
+    """The rule counts of one text; characters are code points, marks those of ASCII."""
     hist = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     n_chars = len(data) - int(hist[0x80:0xC0].sum())
-    out = {"n_chars": n_chars, "word_chars": n_chars - int(hist[_SPACES].sum()), "n_symbols": int(hist[_SYMBOLS].sum())}
-    out |= {k: int(hist[list(v)].sum()) for k, v in _CLASSES.items()}
+    out = {"n_chars": n_chars, "word_chars": n_chars - int(hist[_SPACES].sum()), "n_symbols": int(hist[_SYMBOLS].sum()), "n_marks": int(hist[_MARKS].sum())}
     h = word_hashes(data, hashes)
     out["n_words"] = len(h)
     repeated = 0
@@ -59,9 +59,7 @@ def counts_of(data: bytes, hashes: WordHashes) -> dict[str, int]:
             repeated = int((np.cumsum(ends)[:-1] > 0).sum())
     out["n_repeat_words"] = repeated
     lines = [x for x in data.split(b"\n") if x.strip()]
-    out["n_lines"], out["n_dup_lines"] = len(lines), len(lines) - len(set(lines))
-    gaps = np.flatnonzero(_SPACES[np.frombuffer(data, np.uint8)])
-    out["n_long_words"] = int((np.diff(np.r_[-1, gaps, len(data)]) > 20).sum())
+    out["n_dup_lines"] = len(lines) - len(set(lines))
     return out
 
 
@@ -84,8 +82,9 @@ def base_failed():
 
 
 def _features():
-    words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_chars", "n_lines"))
-    shares = (F.col("word_chars") / words, F.col("n_symbols") / words, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / words, F.col("n_upper") / chars, F.col("n_digits") / chars, F.col("n_marks") / chars, F.log1p(F.col("n_words") / lines), F.col("n_long_words") / words)
+    """Shares, drawn towards those of usual prose so that a short text is not odd by chance."""
+    words, chars = F.col("n_words") + 30, F.col("n_chars") + 200
+    shares = ((F.col("word_chars") + 150) / words, F.col("n_symbols") / words, (F.col("n_marks") + 5) / chars)
     return [c.alias(n) for c, n in zip(shares, FEATURES, strict=True)]
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomlake.llm import sql
 from loomlake.llm.decontaminate import contamination_report
+from loomlake.llm.languages import language_report
 from loomlake.llm.near_dedup import near_duplicates
 from loomlake.llm.packing import pack_documents
 from loomlake.llm.quality import quality
 from loomlake.llm.secrets import secret_spans
 from loomlake.llm.sharding import hilbert_shards
+from loomlake.llm.urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op1_near_dedup": sql.OP1, "op2_decontamination": sql.OP2}
@@ -55,3 +57,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_table(spark, sf_dir, "documents"))
