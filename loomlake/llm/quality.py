@@ -159,17 +159,24 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     doc_id with several labels counts with each. Other columns are not read. An empty table gives an empty one.
     """
     counts = written(rule_counts(docs, id_col, text_col).withColumn("base_failed", base_failed()), "counts")
+    forest, threshold = _fitted(counts, labels, id_col, label_col)
+    return _judged(counts, forest, threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def _judged(counts: DataFrame, forest: IsolationForest, threshold: int) -> DataFrame:
+    kept = ~F.col("base_failed") & (F.floor(F.col("score") * BINS) < threshold)
+    return _scored(counts, forest).withColumn("kept", kept)
+
+
+def _fitted(counts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> tuple[IsolationForest, int]:
+    """The forest of the rows of counts that pass the base rules, and the bin of its scores from which documents go."""
     passed = counts.where("NOT base_failed")
     sample = bounded_sample(passed, FOREST_ROWS, F.struct(*COUNTS)).select(*_features()).toArrow()
     forest = IsolationForest(np.stack([c.to_numpy() for c in sample.columns], axis=1))
-    scored = _scored(counts, forest)
-
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     marked = _scored(passed.join(known, "doc_id"), forest)
     hist = marked.groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin"), "label").agg(F.count("*").alias("n")).collect()
-    threshold = _threshold({(r.bin, r.label): r.n for r in hist})
-    kept = ~F.col("base_failed") & (F.floor(F.col("score") * BINS) < threshold)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
+    return forest, _threshold({(r.bin, r.label): r.n for r in hist})
 
 
 def _threshold(hist: dict[tuple[int, int], int]) -> int:
@@ -187,9 +194,18 @@ def _threshold(hist: dict[tuple[int, int], int]) -> int:
     return best
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those whose doc_id the rules reject; all columns stay. A row without doc_id is judged by its own text."""
-    rows = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))))
-    judged = quality(rows.select(F.col("_row").alias("doc_id"), "text"), labels)
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """docs without the rows whose text the rules or the forest reject; all columns stay, and no text is shuffled."""
+    counts = written(rule_counts(docs, id_col, text_col).withColumn("base_failed", base_failed()), "counts")
+    forest, threshold = _fitted(counts, labels, id_col, label_col)
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+        for texts in batches:
+            rows = [counts_of(t, hashes) for t in texts_of(texts)]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in COUNTS], list(COUNTS))
+
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    counted = F.arrow_udf(count, ", ".join(f"{k} long" for k in COUNTS))(F.col(text_col).cast("string")).alias("_counts")
+    rows = docs.select(own, counted).select("_row", "_counts.*").withColumn("base_failed", base_failed())
+    return _judged(rows, forest, threshold).where("kept").select("_row.*")

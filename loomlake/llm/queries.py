@@ -14,6 +14,8 @@ from loomlake.llm.packing import pack_documents
 from loomlake.llm.quality import quality
 from loomlake.llm.secrets import secret_spans
 from loomlake.llm.sharding import hilbert_shards
+from loomlake.llm.substrings import repeated_passages
+from loomlake.llm.toxicity import toxicity
 from loomlake.llm.urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +69,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
