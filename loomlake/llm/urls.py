@@ -166,15 +166,17 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def _threshold(hist: dict[tuple[int, bool], int]) -> int:
-    """The first bin to allow: the two kinds of error, as shares of their class, have the least sum there."""
-    good, bad = (max(1, sum(n for (_, x), n in hist.items() if x is kind)) for kind in (True, False))
-    if not all(any(x is kind for _, x in hist) for kind in (True, False)):
+    """The first bin to allow: the two kinds of error, as shares of their class, have the least sum there.
+
+    Between two bins that hold URLs the errors are the same, and the middle is taken.
+    """
+    good, bad = (sum(n for (_, x), n in hist.items() if x is kind) for kind in (True, False))
+    if not good or not bad:
         return 0
-    best, least, lost, passed = 0, 1.0, 0, bad
-    for b in sorted({b for b, _ in hist}):
-        if lost / good + passed / bad < least:
-            best, least = b, lost / good + passed / bad
+    bins = sorted({b for b, _ in hist})
+    best, least, lost, passed = bins[0], 1.0, 0, bad
+    for b, after in zip(bins, [*bins[1:], bins[-1] + 1]):
         lost, passed = lost + hist.get((b, True), 0), passed - hist.get((b, False), 0)
         if lost / good + passed / bad < least:
-            best, least = b + 1, lost / good + passed / bad
+            best, least = (b + 1 + after) // 2, lost / good + passed / bad
     return best

@@ -1,0 +1,42 @@
+import re
+
+import duckdb
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from loomlake.llm import sql
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_by_brute_force(spark):
+    """Each stage on what its predecessor kept; near-dedup and decontamination by SQL."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = spark.createDataFrame(stage(spark, docs, SF).toArrow())
+        seen.append((name, docs, out))
+        docs = out
+    assert [n for n, *_ in seen] == ["quality", "near_dedup", "decontamination", "secrets", "packing"]
+    assert all(out.columns == columns for n, _, out in seen if n != "packing")
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+
+    def by_sql(before, text):
+        con = duckdb.connect()
+        con.register("documents", before.toArrow())
+        con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
+        return con.execute(text).fetchall()
+
+    _, before, after = seen[1]
+    assert ids(after) == {r[0] for r in by_sql(before, f"SELECT doc_id FROM ({sql.OP1}) WHERE kept")}
+    _, before, after = seen[2]
+    assert ids(after) == {r[0] for r in by_sql(before, f"SELECT doc_id FROM ({sql.OP2}) WHERE NOT contaminated")} and ids(after) < ids(before)
+    _, before, after = seen[3]
+    assert ids(after) == ids(before)
+    assert not any(re.search(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}", r.text) for r in after.collect()) and all(r.n_chars == len(r.text) for r in after.collect())
+    assert ids(seen[4][2]) == ids(after)
+
+
+def test_entry_has_all_eleven():
+    names = set(entry.queries())
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
