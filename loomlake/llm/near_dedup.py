@@ -7,8 +7,9 @@ with a probability of (1 - 0.75^4)^32 = 5e-6. Candidates are estimated on their
 on the full sets.
 
 No bucket is expanded into its pairs. In each bucket the members are paired with one hub, the member that meets most others
-in all of its buckets; each class first confirms only its best estimate, and components are formed. Only what then still lies in
-different components within one bucket is compared, block by block on signatures, and confirmed again.
+in all of its buckets; each class first confirms only its best estimate, and components are formed. What then still lies apart from
+its hub is compared with all members of the hub's buckets, block by block: signatures choose, full sets confirm, and of the
+links only those that join components are returned.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ N_HASHES = BANDS * ROWS
 PART, WHOLE = 75, 100
 #: Pairs whose signatures agree in less than this part are not confirmed: 5 standard deviations below 0.75.
 LEAST_ESTIMATE = 0.55
-#: Members of a bucket that are compared with another block at once.
-BLOCK = 1024
-#: Best estimates that a member confirms in each block before all of them are confirmed.
-TOP = 4
+#: Bytes of the texts of a block, of which two meet in one group.
+BLOCK_BYTES = 8 << 20
+#: Candidates of a member whose full sets are compared at once.
+STEP = 64
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, N_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -109,46 +110,69 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(F.pandas_udf(_linked, "boolean")("a", "b")).select("u", "v").distinct()
 
 
-def _compare(top: int | None):
-    """Compares one block of a bucket: rows of `left` with the others, in different components, similar on signatures.
+def _counts_in(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of `sets`, none of them empty, has in common with the sorted set `own`."""
+    every = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    return np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum([0, *map(len, sets[:-1])]))
 
-    With `top`, a row keeps only so many of its best estimates.
-    """
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        a, b = block[block.is_left], block[~block.is_left]
-        out = []
-        if len(a) and len(b):
-            y = np.frombuffer(b"".join(b.sig), np.uint8).reshape(-1, N_HASHES)
-            comps, ns, reps = b.comp.values, b.n.values, b.rep.values
-            for rep, comp, n, sig in zip(a.rep, a.comp, a.n, a.sig, strict=True):
-                at = np.flatnonzero((comps != comp) & (WHOLE * np.minimum(ns, n) >= PART * np.maximum(ns, n)))
-                e = (y[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
-                at, e = at[e >= LEAST_ESTIMATE], e[e >= LEAST_ESTIMATE]
-                if top:
-                    at = at[np.argsort(-e, kind="stable")[:top]]
-                out += [(min(rep, x), max(rep, x)) for x in reps[at].tolist()]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    return compare
-
-
-def _rest(members: DataFrame, sigs: DataFrame, comps: DataFrame, top: int | None = None) -> DataFrame:
-    """Candidate pairs (u, v) that share a bucket and lie in different components.
-
-    members: (key, rep, hub). The members outside the hub's component meet all members of their bucket; a bucket is cut
-    into blocks of about BLOCK members by a hash, and each block is one group.
+def _joins(block: pd.DataFrame) -> pd.DataFrame:
+    """Links (u, v) between members of a block that lie in different components, at most one for two components.
+
+    Every row of `is_left` meets the others, but two open members only once. Signatures choose candidates, the full sets
+    decide; what a link has joined is not compared any more.
+    """
+    hashes, out = WordHashes(), []
+    a, b = block[block.is_left], block[~block.is_left]
+    if len(a) and len(b):
+        sets = [shingle_set(t.encode(), hashes) for t in b.text]
+        sigs = np.stack([minima(s).astype(np.uint8) for s in sets])
+        sizes, reps, twice = np.array([len(s) for s in sets]), b.rep.values, b.is_open.values
+        roots = pd.factorize(np.r_[a.comp.values, b.comp.values])[0]
+        for i, (rep, text) in enumerate(zip(a.rep, a.text, strict=True)):
+            own = shingle_set(text.encode(), hashes)
+            n = len(own)
+            near = (WHOLE * np.minimum(sizes, n) >= PART * np.maximum(sizes, n)) & ~(twice & (reps <= rep)) & (roots[len(a) :] != roots[i])
+            at = np.flatnonzero(near)
+            e = (sigs[at] == minima(own).astype(np.uint8)).mean(axis=1)
+            at = at[np.argsort(-e, kind="stable")[: int((e >= LEAST_ESTIMATE).sum())]]
+            while len(at):
+                now, at = at[:STEP], at[STEP:]
+                common = _counts_in(own, [sets[k] for k in now])
+                for k in now[WHOLE * common >= PART * (n + sizes[now] - common)]:
+                    if roots[len(a) + k] != roots[i]:
+                        roots[roots == roots[len(a) + k]] = roots[i]
+                        out.append((min(rep, reps[k]), max(rep, reps[k])))
+                at = at[roots[len(a) + at] != roots[i]]
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
+def _rest(members: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) that join what shares a bucket and still lies in different components.
+
+    members: (rep, hub). All members of the buckets of one hub are its family, so that those who share many buckets meet
+    once. The members outside the hub's component meet the whole family; both sides are cut by a hash into blocks of about
+    BLOCK_BYTES of text, and each pair of blocks is one group.
     """
     comp_of = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"{name}_comp"))
-    rows = members.join(comp_of("rep"), "rep", "left").join(comp_of("hub"), "hub", "left")
-    rows = rows.select("key", "rep", "size", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
-    rows = written(rows, "places")
-    open_keys = rows.where("comp <> hub_comp").select("key").distinct()
-    rows = rows.join(open_keys, "key", "left_semi").join(sigs, "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    right = rows.select("key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(False).alias("is_left"), "rep", "comp", "n", "sig")
-    left = rows.where("comp <> hub_comp").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("is_left"), "rep", "comp", "n", "sig")
-    return right.union(left).groupBy("key", "block").applyInPandas(_compare(top), "u long, v long").distinct()
+    rows = members.select("hub", "rep").distinct().join(comp_of("rep"), "rep", "left").join(comp_of("hub"), "hub", "left")
+    rows = rows.select("hub", "rep", F.coalesce("rep_comp", "rep").alias("comp"), (F.coalesce("rep_comp", "rep") != F.coalesce("hub_comp", "hub")).alias("is_open"))
+    rows = written(rows, "families")
+    rows = rows.join(rows.where("is_open").select("hub").distinct(), "hub", "left_semi")
+    own = texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    own = written(own.select(F.col("doc_id").alias("rep"), "text", F.octet_length("text").cast("long").alias("bytes")), "texts")
+    rows = rows.join(own.groupBy("rep").agg(F.sum("bytes").alias("bytes")), "rep")
+    parts = lambda size: F.ceil((size + F.lit(1)) / BLOCK_BYTES).cast("int")
+    cuts = rows.groupBy("hub").agg(parts(F.sum("bytes")).alias("n_right"), parts(F.sum(F.when(F.col("is_open"), F.col("bytes")).otherwise(0))).alias("n_left"))
+    rows = rows.drop("bytes").join(cuts, "hub")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    common = ["hub", "rep", "comp", "is_open"]
+    right = rows.select(*common, F.lit(False).alias("is_left"), block("n_right").alias("j"), every("n_left").alias("i"))
+    left = rows.where("is_open").select(*common, F.lit(True).alias("is_left"), every("n_right").alias("j"), block("n_left").alias("i"))
+    both = right.unionByName(left).join(own.select("rep", "text"), "rep")
+    return both.groupBy("hub", "i", "j").applyInPandas(_joins, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,6 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = classes.select("rep", F.explode("bands").alias("key")).distinct()
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(bands.join(sizes, "key"), "buckets")
+    # texts without a word have no class, though their doc_id may have others
+    with_words = plain.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     # the text that copies were made from meets more of them than they meet each other: it is the hub of all its buckets
     weights = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
     hubs = shared.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
@@ -192,16 +218,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = written(edges.union(_confirmed(best, plain)), "links")
     comps = components(edges)
 
-    # most that is still apart joins by a best estimate; only what then remains apart needs each of its candidates confirmed
-    tried = best
-    for top in (TOP, None):
-        comp_of = lambda name, c=comps: c.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-        apart = pairs.select("u", "v").join(comp_of("u"), "u", "left").join(comp_of("v"), "v", "left")
-        apart = apart.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
-        more = apart.union(_rest(members, sigs, comps, top)).distinct().join(tried, ["u", "v"], "left_anti")
-        more = written(more, "more")
-        edges = written(edges.union(_confirmed(more, plain)), "links")
-        comps, tried = components(edges), tried.union(more)
+    # most joins by a best estimate; what remains apart within a family meets in blocks
+    edges = written(edges.union(_rest(members, comps, with_words)), "links")
+    comps = components(edges)
 
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("least"))
     out = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class.groupBy("set_key").agg(F.min("least").alias("least")), "set_key", "left")
