@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.llm import decontaminate, languages, packing, quality, secrets, sql, substrings, toxicity, urls
+from loomlake.llm import decontaminate, languages, near_dedup, packing, quality, secrets, sql, substrings, toxicity, urls
 from loomlake.llm.common import WordHashes
 from loomlake.llm.components import components
 from loomlake.llm.near_dedup import drop_near_duplicates, near_duplicates
@@ -52,7 +52,9 @@ def test_near_dedup_odd_rows(spark):
     assert kept.columns == frame(spark, EMPTY).columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 5, 8, 9, 10, 11, None}
 
 
-def test_near_dedup_against_all_pairs(spark):
+@pytest.mark.parametrize("block_bytes", [near_dedup.BLOCK_BYTES, 2000])
+def test_near_dedup_against_all_pairs(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block_bytes)
     rng = np.random.default_rng(3)
     texts = {}
     for g in range(6):  # chains of edits: neighbours are linked, ends need not be
