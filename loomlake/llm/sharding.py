@@ -109,6 +109,13 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40) -> None:
-    """Writes docs with their shard, a folder for each shard."""
-    places = hilbert_shards(docs, n_shards).select("doc_id", "shard").dropDuplicates(["doc_id"])
-    docs.join(places, "doc_id").repartitionByRange(n_shards, "shard").write.partitionBy("shard").parquet(path)
+    """Writes docs with their shard, a folder for each shard.
+
+    Rows of one id and one text lie in one shard; rows without an id are placed by their text. A column named like the
+    shard gives way to it.
+    """
+    keys = {"doc_id": F.col("doc_id").cast("long"), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))}
+    places = hilbert_shards(docs, n_shards).groupBy(*keys).agg(F.min("shard").alias("shard"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "shard"]).alias("row"), *[c.alias(f"row_{k}") for k, c in keys.items()])
+    same = reduce(lambda a, b: a & b, [F.col(f"row_{k}").eqNullSafe(F.col(k)) for k in keys])
+    rows.join(places, same).select("row.*", "shard").repartitionByRange(n_shards, "shard").write.partitionBy("shard").parquet(path)
