@@ -86,22 +86,29 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, first_doc_id, kept): the passages of documents that stand in other documents too.
 
-    A row for each longest run of chunks, of MIN_RUN bytes at least, that occur in more than one document; start and end
-    are in UTF-8 bytes of the text. kept: all of the run's chunks occur here first (by doc_id, then by place); otherwise
-    the passage can be cut, and first_doc_id holds its first chunk. Passages of rows without doc_id have a null id. Rows
-    repeated with the same id are one document. An empty table, or one without repeats, gives an empty one.
+    Passages are longest runs of chunks, of MIN_RUN bytes at least, that occur in more than one document; start and end are
+    in UTF-8 bytes of the text. A run is parted where chunks that occur here first (by doc_id, then by place) meet chunks
+    that do not, and each part has a row. kept: the part's chunks occur here first; otherwise the part can be cut, and
+    first_doc_id holds its first chunk. So of every chunk one copy stays. Passages of rows without doc_id have a null id.
+    Rows repeated with the same id are one document. An empty table, or one without repeats, gives an empty one.
     """
     rows = chunks(docs, id_col, text_col)
     # partial sums shrink a digest that a third of all documents hold before it is shuffled
     shared = rows.groupBy("d1", "d2").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("last")).where("first.doc <> last")
     own = rows.join(shared.select("d1", "d2", "first"), ["d1", "d2"]).select("doc", "start", "end", "first").distinct()
     order = Window.partitionBy("doc").orderBy("start")
-    begins = F.coalesce((F.lag("end").over(order) != F.col("start")).cast("int"), F.lit(1))
-    runs = own.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    begins = F.coalesce(F.lag("end").over(order) != F.col("start"), F.lit(True))
     is_first = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
-    runs = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first.doc", "start").alias("first_doc"), F.min(is_first).alias("kept"))
+    runs = own.withColumn("is_first", is_first).withColumn("begins", begins)
+    turns = F.col("begins") | (F.lag("is_first").over(order) != F.col("is_first"))
+    count = lambda c: F.sum(c.cast("int")).over(order)
+    runs = runs.withColumn("turns", turns).withColumn("run", count(F.col("begins"))).withColumn("part", count(F.col("turns")))
+    # all of these lie by doc already: no further shuffle
+    parts = runs.groupBy("doc", "run", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first.doc", "start").alias("first_doc"), F.min("is_first").alias("kept"))
+    whole = Window.partitionBy("doc", "run")
+    parts = parts.withColumn("bytes", F.max("end").over(whole) - F.min("start").over(whole)).where(F.col("bytes") >= MIN_RUN)
     id_of = lambda c: F.when(F.col(c) >= 0, F.col(c))
-    return runs.where(F.col("end") - F.col("start") >= MIN_RUN).select(id_of("doc").alias("doc_id"), "start", "end", id_of("first_doc").alias("first_doc_id"), "kept")
+    return parts.select(id_of("doc").alias("doc_id"), "start", "end", id_of("first_doc").alias("first_doc_id"), "kept")
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from loomlake.llm import decontaminate, languages, near_dedup, packing, quality,
 from loomlake.llm.common import WordHashes
 from loomlake.llm.components import components
 from loomlake.llm.near_dedup import drop_near_duplicates, near_duplicates
-from loomlake.llm.sharding import hilbert_cells, hilbert_shards
+from loomlake.llm.sharding import hilbert_cells, hilbert_shards, write_shards
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, n_words string, hits string, u string"
@@ -300,5 +300,27 @@ def test_repeated_passages(spark):
     assert substrings.repeated_passages(frame(spark, EMPTY)).count() == 0
 
 
+def test_one_copy_of_every_passage_stays(spark):
+    """A passage that follows another one's copy, and is copied on itself, is not cut everywhere."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n))
+    p, q = words(80), words(80)
+    texts = {1: f"{words(20)} {p} {words(20)}", 2: f"{words(20)} {p} {q} {words(20)}", 3: f"{words(20)} {q} {words(20)}"}
+    docs = frame(spark, list(texts.items()))
+    got = substrings.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.kept) for r in got} == {(1, True), (2, False), (2, True), (3, False)}
+    cut = {r.doc_id: r.text for r in substrings.cut_passages(docs).collect()}
+    for passage, first, later in ((p, 1, 2), (q, 2, 3)):
+        inner = passage[substrings.MAX_CHUNK * 2 : -substrings.MAX_CHUNK * 2]
+        assert inner in cut[first] and inner not in cut[later]
+
+
+def test_written_shards_hold_all_rows(spark, tmp_path):
+    docs = frame(spark, ODD).withColumn("size", F.lit("x")).withColumn("shard", F.lit("x")).withColumn("text_crc32", F.lit("x"))
+    write_shards(docs, f"{tmp_path}/out", 4)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(got, "doc_id", "text", "size") == rows(docs, "doc_id", "text", "size") and set(got.columns) == set(docs.columns)
+
+
 def test_rule_counts_of_a_null_are_zero():
     assert not any(quality.counts_of(b"", WordHashes()).values()) and pa.array([1]) is not None
