@@ -112,9 +112,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs whose texts lack the passages that stand in an earlier document; all columns stay, null texts stay null."""
+    """docs whose texts lack the passages that stand in an earlier document; all columns stay, null texts stay null.
+
+    Texts without an id, and those of an id that stands on rows of different texts, stay whole, since places in them are
+    not known by the id.
+    """
+    key = F.col(id_col).cast("long")
     cuts = repeated_passages(docs, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL")
-    cuts = cuts.groupBy(F.col("doc_id").alias(id_col)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    cuts = cuts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    texts = docs.where(key.isNotNull()).groupBy(key.alias("doc_id")).agg(F.min(F.xxhash64(text_col)).alias("a"), F.max(F.xxhash64(text_col)).alias("b"))
+    cuts = cuts.join(texts.where("a <> b"), "doc_id", "left_anti").select(F.col("doc_id").alias("_id"), "_cuts")
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
@@ -129,5 +136,5 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append(text)
             yield pa.array(out, pa.string())
 
-    joined = docs.join(cuts, id_col, "left")
+    joined = docs.join(cuts, key == F.col("_id"), "left")
     return joined.withColumn(text_col, F.arrow_udf(cut, "string")(text_col, "_cuts")).select(*docs.columns)

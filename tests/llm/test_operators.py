@@ -313,6 +313,9 @@ def test_one_copy_of_every_passage_stays(spark):
     for passage, first, later in ((p, 1, 2), (q, 2, 3)):
         inner = passage[substrings.MAX_CHUNK * 2 : -substrings.MAX_CHUNK * 2]
         assert inner in cut[first] and inner not in cut[later]
+    # a second text under one id: places are not known, both stay whole
+    twice = frame(spark, [*texts.items(), (3, "another text " * 20)])
+    assert sorted(r.text for r in substrings.cut_passages(twice).where("doc_id = 3").collect()) == sorted([texts[3], "another text " * 20])
 
 
 def test_written_shards_hold_all_rows(spark, tmp_path):
