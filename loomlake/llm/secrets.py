@@ -7,7 +7,9 @@ secret, while `password: changeme` is not.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -21,13 +23,17 @@ from loomlake.llm.common import small_batches
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value is a secret.
 MIN_GUESSES = 8.0
-#: Values are segmented in pieces of so many characters; the costs of pieces add up.
-PIECE = 64
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}", re.ASCII)
 _HEX = re.compile(r"[0-9a-f]{32,}", re.ASCII)
-_CONTEXT = re.compile(r"""(?:password|passwd|pwd|passphrase|passcode|secret|token|credential|api[_-]?key|auth[_-]?key|private[_-]?key)s?["']?(?:[\x20\t]+(?:is|was))?[\x20\t]*[:=]?[\x20\t]*["'`]?([!-&(-_a-~]{6,})""", re.ASCII | re.IGNORECASE)
+_WORD = re.compile(r"(?:password|passwd|pwd|passphrase|passcode|secret|token|credential|api[_-]?key|auth[_-]?key|private[_-]?key)s?", re.ASCII | re.IGNORECASE)
+#: The rest of a name, as in password_hash, and what may stand between a name and its value.
+_NAME = re.compile(r"[A-Za-z0-9_-]*", re.ASCII)
+_SEP = re.compile(r"""["'`]?(?:[\x20\t]+(?:is|was))?[\x20\t]*[:=][\x20\t]*["'`]?""", re.ASCII | re.IGNORECASE)
+_IS = re.compile(r"""["']?[\x20\t]+(?:is|was)[\x20\t]+["'`]?""", re.ASCII | re.IGNORECASE)
+_GAP = re.compile(r"""["']?[\x20\t]*["'`]?""", re.ASCII)
+_VALUE = re.compile(r"[!-&(-_a-~]*", re.ASCII)
 #: No match of a context or an assignment without one of these.
 _HINT = re.compile(r"pass|pwd|secret|token|cred|key", re.ASCII | re.IGNORECASE)
 _DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
@@ -53,10 +59,8 @@ def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation of value."""
-    if len(value) > PIECE:
-        return sum(guess_cost(value[i : i + PIECE]) for i in range(0, len(value), PIECE))
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation of value; `enough` where all segmentations take that many."""
     low, n = value.lower(), len(value)
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
@@ -87,6 +91,9 @@ def guess_cost(value: str) -> float:
         for w in (2, 3, 4, 5, 6, 8):  # a block said again, as in abcabc
             if j + 1 >= 2 * w and low[j + 1 - w : j + 1] == low[j + 1 - 2 * w : j + 1 - w]:
                 best[j + 1] = min(best[j + 1], best[j + 1 - w] + 0.3)
+        # every segmentation goes on from one of these places: words and blocks reach back, dates ahead, by _LONGEST at most
+        if j % 32 == 31 and min(best[walk], best[rep], *best[max(0, j - _LONGEST) : j + 2 + _LONGEST]) >= enough:
+            return enough
     return best[n]
 
 
@@ -96,15 +103,69 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)] + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     if _HINT.search(text):
         found += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
-        base = sorted(x[:2] for x in found)
-        for m in _CONTEXT.finditer(text):
-            s, e = m.span(1)
-            e -= len(m[1]) - len(m[1].rstrip(".,;:!?)\"'"))
-            if e - s >= 6 and not any(a < e and s < b for a, b in base) and _is_value(text[s:e]) and guess_cost(text[s:e]) >= MIN_GUESSES:
-                found.append((s, e, "guess"))
+        found += [(s, e, "guess") for s, e in _guesses(text, sorted(x[:2] for x in found))]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+class _Runs:
+    """Ends of the runs of a pattern's characters; a run that holds many starts is read once."""
+
+    def __init__(self, pattern: re.Pattern, text: str):
+        self.pattern, self.text, self.start, self.stop = pattern, text, 0, -1
+
+    def end(self, at: int) -> int:
+        if not self.start <= at < self.stop:
+            self.start, self.stop = at, self.pattern.match(self.text, at).end()
+        return self.stop
+
+
+def _guesses(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of values after credential words, outside the spans of base (sorted) and of each other.
+
+    Every word is looked at, also one that stands where the value of another is sought. After a separator all values
+    count; without one, a value must not look like prose.
+    """
+    starts, reach = [a for a, _ in base], list(itertools.accumulate((b for _, b in base), max))
+    names, values = _Runs(_NAME, text), _Runs(_VALUE, text)
+    out: list[tuple[int, int]] = []
+    dull = -1  # end of a run that holds no value of two classes any more
+
+    def add(s: int, e: int, parted: bool) -> None:
+        nonlocal dull
+        i = bisect.bisect_left(starts, e)
+        if e - s < 6 or i and reach[i - 1] > s or out and out[-1][1] > s:
+            return
+        if not parted:
+            if e == dull:
+                return
+            if not _is_value(text[s:e]):
+                dull = e
+                return
+        e -= e - s - len(text[s:e].rstrip(".,;:!?)\"'"))
+        if e - s >= 6 and (parted or _is_value(text[s:e])) and guess_cost(text[s:e], MIN_GUESSES) >= MIN_GUESSES:
+            out.append((s, e))
+
+    def parted(at: int) -> re.Match | None:
+        """What parts a name that may go on here from its value."""
+        return _SEP.match(text, names.end(at))
+
+    for m in _WORD.finditer(text):
+        at = m.end()
+        name = names.end(at)
+        if sep := parted(at):
+            if any(c.isdigit() for c in text[at:name]):
+                add(at, name, False)
+            add(sep.end(), values.end(sep.end()), True)
+        elif said := _IS.match(text, name):
+            add(said.end(), values.end(said.end()), False)
+        else:
+            s = _GAP.match(text, at).end()
+            following = _WORD.match(text, s)
+            if not (following and parted(following.end())):
+                add(s, values.end(s), False)
+    return out
+
+
 def _is_value(value: str) -> bool:
     """Prose after a credential word ("passwords should") is no value: it takes two classes of characters."""
     return sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value[1:]), any(not c.isalnum() for c in value))) >= 2

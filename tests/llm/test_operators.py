@@ -224,6 +224,18 @@ def test_guess_costs_and_redaction(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "é <secret> x", 2: None, 3: "<secret>"} and out.columns == frame(spark, EMPTY).columns
 
 
+def test_values_after_neighbouring_credential_words():
+    value = "Xk9#mP2q!z"
+    for text in (f"the secret password: {value} x", f"token_password = '{value}'", f"password_hash: {value}", f"user token passphrase is {value}", f"private-key-pwd={value}", f"secret password={value}"):
+        assert [text[s:e] for s, e, k in secrets.find_secrets(text) if k == "guess"] == [value], text
+    # one class of characters is a value after a separator only
+    assert secrets.find_secrets("passphrase: qzvkxwjhpfgm") == [(12, 24, "guess")] and not secrets.find_secrets("the passphrase qzvkxwjhpfgm")
+    # no new cut every 64 characters, and long runs of words are read once
+    walk = "qwertyuiop" * 20
+    assert secrets.guess_cost("a" * 400) < secrets.MIN_GUESSES and secrets.guess_cost(walk) == secrets.guess_cost(walk, 1e9)
+    assert secrets.guess_cost("xK9#vQ2m" * 1000, 8.0) == 8.0 and secrets.find_secrets("password" * 100_000) == []
+
+
 def test_languages_of_scripts_and_mixed_texts(spark):
     de, en, ru = "der hund und die katze sind nicht im haus gewesen ", "the dog and the cat have not been in the house ", "собака и кошка не были в доме "
     docs = spark.createDataFrame([(i, t and t * 30, x, "h") for i, (t, x) in enumerate([(de, "de"), (en, "en"), (ru, "ru"), ("", "en"), (None, "de"), ("x", None)])], "doc_id long, text string, lang string, score string")
