@@ -45,7 +45,14 @@ class KnowledgeBase:
         word = chunking.block_chunks(readers.docx_blocks(files))
         sheets = chunking.sheet_chunks(readers.xlsx_rows(files)).withColumns({"chunk_id": F.col("part"), "heading_level": F.lit(0), "chapter": F.col("sheet_name"), "doc_type": F.lit("sheet")})
         columns = ["source", "chunk_id", "page_content", "heading", "heading_level", "chapter", "doc_type"]
-        return plain.select(columns).unionByName(word.select(columns)).unionByName(sheets.select(columns))
+        out = plain.select(columns).unionByName(word.select(columns)).unionByName(sheets.select(columns))
+        try:
+            pages = readers.pdf_pages(files)
+        except ImportError:
+            if files.where("ext = '.pdf'").isEmpty():
+                return out
+            raise
+        return out.unionByName(chunking.page_line_chunks(pages).withColumn("doc_type", F.lit("paragraph")).select(columns))
 
     def upload(self, path: str, operator: str = "") -> DataFrame:
         """Reads the files under a path, replaces the chunks of changed ones, and returns the counts of each source."""

@@ -1,4 +1,5 @@
 import io
+import sys
 import zipfile
 
 import pytest
@@ -108,6 +109,27 @@ def test_knowledge_base_reads_replaces_and_searches(spark, tmp_path):
     assert [h.source for h in hits] == ["a.md"]
 
 
+def test_knowledge_base_chunks_pdf_files(spark, tmp_path, monkeypatch):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "p.PDF").write_bytes(b"1.1 Scope\nbody")
+    (src / "a.txt").write_bytes(b"plain")
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    with monkeypatch.context() as m:
+        m.setitem(sys.modules, "fitz", None)
+        with pytest.raises(ImportError, match="PyMuPDF"):
+            kb.upload(str(src))
+        assert kb.ledger().isEmpty() and kb.chunks().isEmpty()
+        assert kb.parse(files.read_files(spark, str(src)).where("ext = '.txt'")).count() == 1
+    # stands for the library, which may not be installed: two pages of the same text
+    page = lambda f: f.where("ext = '.pdf'").select("source", F.explode(F.array(F.lit(1), F.lit(2))).alias("page_no"), F.col("content").cast("string").alias("text"))
+    monkeypatch.setattr(files, "pdf_pages", page)
+    stats = {r.source: r for r in kb.upload(str(src)).collect()}
+    chunks = {r.chunk_id: r for r in kb.chunks().where("source = 'p.PDF'").collect()}
+    assert stats["p.PDF"].inserted == 2 == len(chunks) and stats["a.txt"].inserted == 1
+    assert (chunks[1].heading, chunks[1].page_content, chunks[1].doc_type) == ("1.1 Scope", "body", "paragraph")
+
+
 def test_bad_word_file_is_named(spark):
     rows = spark.createDataFrame([("bad.docx", bytearray(b"zip?"), ".docx")], "source string, content binary, ext string")
     with pytest.raises(Exception, match="bad.docx"):
