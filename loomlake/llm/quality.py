@@ -3,16 +3,20 @@
 Every text gives a few counts of rules; two of them reject by themselves. The shares of the counts are the features of an
 isolation forest: trees of random splits, in which anomalous documents end early. The score from which a document goes is
 calibrated on labelled rows, so that at most MAX_LOSS of the good ones are lost.
+
+A second forest sees only the share of words said again at once. Among the features of the first one it would hide the
+other kinds, of which there are far more. Its threshold is calibrated on the rows that the first one keeps.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm.common import WordHashes, bounded_sample, small_batches, texts_of, windows, word_hashes, written
@@ -26,8 +30,10 @@ MAX_LOSS = 0.001
 BINS = 1000
 WIDTH = 5
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_marks")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_marks", "n_twins")
 FEATURES = ("word_length", "symbols", "marks")
+#: The feature of the second forest.
+TWINS = "twins"
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -37,12 +43,13 @@ _MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 
 
 def counts_of(data: bytes, hashes: WordHashes) -> dict[str, int]:
-    """The rule counts of one text; characters are code points, marks those of ASCII."""
+    """The rule counts of one text; characters are code points, marks those of ASCII, twins words equal to the one before."""
     hist = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     n_chars = len(data) - int(hist[0x80:0xC0].sum())
     out = {"n_chars": n_chars, "word_chars": n_chars - int(hist[_SPACES].sum()), "n_symbols": int(hist[_SYMBOLS].sum()), "n_marks": int(hist[_MARKS].sum())}
     h = word_hashes(data, hashes)
     out["n_words"] = len(h)
+    out["n_twins"] = int((h[1:] == h[:-1]).sum())
     repeated = 0
     if len(h) >= WIDTH:
         w = windows(h, WIDTH)
@@ -84,8 +91,8 @@ def base_failed():
 def _features():
     """Shares, drawn towards those of usual prose so that a short text is not odd by chance."""
     words, chars = F.col("n_words") + 30, F.col("n_chars") + 200
-    shares = ((F.col("word_chars") + 150) / words, F.col("n_symbols") / words, (F.col("n_marks") + 5) / chars)
-    return [c.alias(n) for c, n in zip(shares, FEATURES, strict=True)]
+    shares = ((F.col("word_chars") + 150) / words, F.col("n_symbols") / words, (F.col("n_marks") + 5) / chars, F.col("n_twins") / words)
+    return [c.alias(n) for c, n in zip(shares, (*FEATURES, TWINS), strict=True)]
 
 
 def _path(n: float) -> float:
@@ -139,50 +146,73 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(_path(self.size), 1e-9))
 
 
-def _scored(counts: DataFrame, forest: IsolationForest) -> DataFrame:
-    """counts with `score`, of the forest."""
-    sent = counts.sparkSession.sparkContext.broadcast(forest)
+Forests = tuple[IsolationForest, IsolationForest]
+
+
+def _scored(counts: DataFrame, forests: Forests) -> DataFrame:
+    """counts with `score` and `twin_score`, of the two forests."""
+    sent = counts.sparkSession.sparkContext.broadcast(forests)
 
     def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in batches:
-            yield pa.array(sent.value.score(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)))
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            shares, twins = sent.value
+            yield pa.StructArray.from_arrays([pa.array(shares.score(x[:, :-1])), pa.array(twins.score(x[:, -1:]))], ["score", "twin_score"])
 
-    return counts.withColumn("score", F.arrow_udf(score, "double")(*_features()))
+    scores = F.arrow_udf(score, "score double, twin_score double")(*_features())
+    return counts.withColumn("_scores", scores).select(*counts.columns, "_scores.*")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score), a row for each row of docs.
 
     A null or empty text has no words and fails. The forest is grown on a sample of about FOREST_ROWS rows, chosen by a
-    hash of their counts, that pass the base rules; the threshold is taken from a histogram over all labelled rows that
-    pass them. Without labels of both kinds nothing but the base rules rejects. Repeated rows get the same row each; a
+    hash of their counts, that pass the base rules; the thresholds are taken from histograms over all labelled rows that
+    pass them. score is that of the first forest. Without labels of both kinds nothing but the base rules rejects. Repeated rows get the same row each; a
     doc_id with several labels counts with each. Other columns are not read. An empty table gives an empty one.
     """
     counts = written(rule_counts(docs, id_col, text_col).withColumn("base_failed", base_failed()), "counts")
-    forest, threshold = _fitted(counts, labels, id_col, label_col)
-    return _judged(counts, forest, threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    forests, thresholds = _fitted(counts, labels, id_col, label_col)
+    return _judged(counts, forests, thresholds).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
 
+def _bin(score: str) -> Column:
+    return F.floor(F.col(score) * BINS).cast("int")
 
-def _judged(counts: DataFrame, forest: IsolationForest, threshold: int) -> DataFrame:
-    kept = ~F.col("base_failed") & (F.floor(F.col("score") * BINS) < threshold)
-    return _scored(counts, forest).withColumn("kept", kept)
 
+def _judged(counts: DataFrame, forests: Forests, thresholds: tuple[int, int]) -> DataFrame:
+    kept = ~F.col("base_failed") & (_bin("score") < thresholds[0]) & (_bin("twin_score") < thresholds[1])
+    return _scored(counts, forests).withColumn("kept", kept)
 
-def _fitted(counts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> tuple[IsolationForest, int]:
-    """The forest of the rows of counts that pass the base rules, and the bin of its scores from which documents go."""
+
+def _fitted(counts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> tuple[Forests, tuple[int, int]]:
+    """The forests of the rows of counts that pass the base rules, and the bins of their scores from which documents go."""
     passed = counts.where("NOT base_failed")
     sample = bounded_sample(passed, FOREST_ROWS, F.struct(*COUNTS)).select(*_features()).toArrow()
-    forest = IsolationForest(np.stack([c.to_numpy() for c in sample.columns], axis=1))
+    x = np.stack([c.to_numpy() for c in sample.columns], axis=1)
+    forests = IsolationForest(x[:, :-1]), IsolationForest(x[:, -1:])
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
-    marked = _scored(passed.join(known, "doc_id"), forest)
-    hist = marked.groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin"), "label").agg(F.count("*").alias("n")).collect()
-    return forest, _threshold({(r.bin, r.label): r.n for r in hist})
-
-
-def _threshold(hist: dict[tuple[int, int], int]) -> int:
-    """The bin from which documents go: it catches most bad rows while at most MAX_LOSS of the good ones lie at or above it."""
+    marked = _scored(passed.join(known, "doc_id"), forests).select(_bin("score").alias("bin"), _bin("twin_score").alias("twin_bin"), "label")
+    # a row for each pair of bins at most
+    hist = marked.groupBy("bin", "twin_bin", "label").agg(F.count("*").alias("n")).collect()
+    first, twins = Counter(), Counter()
+    for r in hist:
+        first[r.bin, r.label] += r.n
+    threshold = _threshold(first)
+    for r in hist:
+        if r.bin < threshold:
+            twins[r.twin_bin, r.label] += r.n
+    good = sum(r.n for r in hist if r.label == 1)
+    return forests, (threshold, _threshold(twins, good - sum(n for (_, x), n in twins.items() if x == 1)))
+
+
+def _threshold(hist: dict[tuple[int, int], int], lost: int = 0) -> int:
+    """The bin from which documents go: it catches most bad rows while at most MAX_LOSS of the good ones lie at or above it.
+
+    lost: good rows that are not in hist since they have gone before.
+    """
     good, bad = (sum(n for (_, x), n in hist.items() if x == label) for label in (1, 0))
-    best, caught, lost = BINS + 1, 0, 0
+    best, caught, good = BINS + 1, 0, good + lost
     if good and bad:
         hit = 0
         for b in range(BINS, -1, -1):
@@ -197,7 +227,7 @@ def _threshold(hist: dict[tuple[int, int], int]) -> int:
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """docs without the rows whose text the rules or the forest reject; all columns stay, and no text is shuffled."""
     counts = written(rule_counts(docs, id_col, text_col).withColumn("base_failed", base_failed()), "counts")
-    forest, threshold = _fitted(counts, labels, id_col, label_col)
+    forests, thresholds = _fitted(counts, labels, id_col, label_col)
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
@@ -208,4 +238,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     counted = F.arrow_udf(count, ", ".join(f"{k} long" for k in COUNTS))(F.col(text_col).cast("string")).alias("_counts")
     rows = docs.select(own, counted).select("_row", "_counts.*").withColumn("base_failed", base_failed())
-    return _judged(rows, forest, threshold).where("kept").select("_row.*")
+    return _judged(rows, forests, thresholds).where("kept").select("_row.*")

@@ -126,6 +126,18 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.quality(frame(spark, EMPTY), labels).count() == 0
 
 
+def test_words_said_again_at_once_are_rejected(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(3, 8))))
+    prose = [(i, " ".join(word() for _ in range(40))) for i in range(300)]
+    odd = [(300 + i, " ".join(w for _ in range(12) for w in [word()] * (2 + i % 4))) for i in range(8)]
+    noise = [(400 + i, " ".join("#*|$" + word() for _ in range(40))) for i in range(8)]
+    labels = spark.createDataFrame([(i, int(i < 300)) for i, _ in prose + odd[:4] + noise[:4]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.quality(frame(spark, prose + odd + noise), labels).collect()}
+    assert not any(r.base_failed for r in got.values()) and all(got[i].kept for i, _ in prose)
+    assert not any(got[i].kept for i, _ in odd + noise)
+
+
 def test_hilbert_curve_visits_neighbours(spark):
     cells = [r.cell for r in hilbert_cells(spark, 3, 2).orderBy("index").collect()]
     assert sorted(cells) == list(range(64))
