@@ -26,3 +26,9 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_all_questions_are_answered(spark, duck):
+    asked = {r[0] for r in duck.execute("SELECT item_id FROM benchmark").fetchall()}
+    got = entry.queries()["qa_end_to_end"](spark, SF).collect()
+    assert len(asked) > 5 and sorted(r.query_id for r in got) == sorted(asked) and all(1 <= r.n_docs <= 3 for r in got)
