@@ -4,8 +4,9 @@ Every text gives a few counts of rules; two of them reject by themselves. The sh
 isolation forest: trees of random splits, in which anomalous documents end early. The score from which a document goes is
 calibrated on labelled rows, so that at most MAX_LOSS of the good ones are lost.
 
-A second forest sees only the share of words said again at once. Among the features of the first one it would hide the
-other kinds, of which there are far more. Its threshold is calibrated on the rows that the first one keeps.
+There is a forest for each family of features: word lengths, symbols and marks; words said again at once; repeated windows
+and lines. In one forest the many anomalies of one family would hide the few of another. The threshold of each is
+calibrated on the rows that those before it keep.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import WordHashes, bounded_sample, small_batches, texts_of, windows, word_hashes, written
+from loomlake.llm.common import WordHashes, bounded_sample, slices, texts_of, windows, word_hashes, written
 
 #: Small subsamples, since bad rows are not rare: in large ones they hide each other.
 N_TREES, SUBSAMPLE = 128, 64
@@ -31,9 +32,8 @@ BINS = 1000
 WIDTH = 5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_marks", "n_twins")
-FEATURES = ("word_length", "symbols", "marks")
-#: The feature of the second forest.
-TWINS = "twins"
+#: The features of each forest.
+FAMILIES = (("word_length", "symbols", "marks"), ("twins",), ("repeats", "dup_lines"))
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -72,11 +72,9 @@ def counts_of(data: bytes, hashes: WordHashes) -> dict[str, int]:
 
 def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the counts of every row of docs; a null text counts as empty."""
-    small_batches(docs.sparkSession)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             rows = [counts_of(t, hashes) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([r[k] for r in rows], pa.int64()) for k in COUNTS]], names=["doc_id", *COUNTS])
 
@@ -91,8 +89,8 @@ def base_failed():
 def _features():
     """Shares, drawn towards those of usual prose so that a short text is not odd by chance."""
     words, chars = F.col("n_words") + 30, F.col("n_chars") + 200
-    shares = ((F.col("word_chars") + 150) / words, F.col("n_symbols") / words, (F.col("n_marks") + 5) / chars, F.col("n_twins") / words)
-    return [c.alias(n) for c, n in zip(shares, (*FEATURES, TWINS), strict=True)]
+    shares = ((F.col("word_chars") + 150) / words, F.col("n_symbols") / words, (F.col("n_marks") + 5) / chars, F.col("n_twins") / words, F.col("n_repeat_words") / words, F.col("n_dup_lines") / (F.col("n_dup_lines") + 10))
+    return [c.alias(n) for c, n in zip(shares, sum(FAMILIES, ()), strict=True)]
 
 
 def _path(n: float) -> float:
@@ -146,64 +144,67 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(_path(self.size), 1e-9))
 
 
-Forests = tuple[IsolationForest, IsolationForest]
+Forests = list[IsolationForest]
+_ENDS = np.cumsum([len(f) for f in FAMILIES])
+
+
+def _split(x: np.ndarray) -> list[np.ndarray]:
+    """The columns of each family."""
+    return np.split(x, _ENDS[:-1], axis=1)
 
 
 def _scored(counts: DataFrame, forests: Forests) -> DataFrame:
-    """counts with `score` and `twin_score`, of the two forests."""
+    """counts with `scores`, one of each forest."""
     sent = counts.sparkSession.sparkContext.broadcast(forests)
 
     def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
-            shares, twins = sent.value
-            yield pa.StructArray.from_arrays([pa.array(shares.score(x[:, :-1])), pa.array(twins.score(x[:, -1:]))], ["score", "twin_score"])
+            scores = [f.score(own) for f, own in zip(sent.value, _split(x), strict=True)]
+            yield pa.array(list(np.stack(scores, axis=1)), pa.list_(pa.float64()))
 
-    scores = F.arrow_udf(score, "score double, twin_score double")(*_features())
-    return counts.withColumn("_scores", scores).select(*counts.columns, "_scores.*")
+    return counts.withColumn("scores", F.arrow_udf(score, "array<double>")(*_features()))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score), a row for each row of docs.
 
-    A null or empty text has no words and fails. The forest is grown on a sample of about FOREST_ROWS rows, chosen by a
-    hash of their counts, that pass the base rules; the thresholds are taken from histograms over all labelled rows that
-    pass them. score is that of the first forest. Without labels of both kinds nothing but the base rules rejects. Repeated rows get the same row each; a
+    A null or empty text has no words and fails. The forest is grown on a sample of at most about FOREST_ROWS rows, chosen
+    by a hash of their id and counts, that pass the base rules; the thresholds are taken from histograms over all labelled rows that
+    pass them. score is the
+    highest of all forests. Without labels of both kinds nothing but the base rules rejects. Repeated rows get the same row each; a
     doc_id with several labels counts with each. Other columns are not read. An empty table gives an empty one.
     """
     counts = written(rule_counts(docs, id_col, text_col).withColumn("base_failed", base_failed()), "counts")
     forests, thresholds = _fitted(counts, labels, id_col, label_col)
-    return _judged(counts, forests, thresholds).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return _judged(counts, forests, thresholds).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_max("scores").alias("score"))
 
 
-def _bin(score: str) -> Column:
-    return F.floor(F.col(score) * BINS).cast("int")
+def _bin(family: int) -> Column:
+    return F.floor(F.col("scores")[family] * BINS).cast("int")
 
 
-def _judged(counts: DataFrame, forests: Forests, thresholds: tuple[int, int]) -> DataFrame:
-    kept = ~F.col("base_failed") & (_bin("score") < thresholds[0]) & (_bin("twin_score") < thresholds[1])
+def _judged(counts: DataFrame, forests: Forests, thresholds: list[int]) -> DataFrame:
+    kept = ~F.col("base_failed")
+    for k, t in enumerate(thresholds):
+        kept = kept & (_bin(k) < t)
     return _scored(counts, forests).withColumn("kept", kept)
 
 
-def _fitted(counts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> tuple[Forests, tuple[int, int]]:
+def _fitted(counts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> tuple[Forests, list[int]]:
     """The forests of the rows of counts that pass the base rules, and the bins of their scores from which documents go."""
     passed = counts.where("NOT base_failed")
-    sample = bounded_sample(passed, FOREST_ROWS, F.struct(*COUNTS)).select(*_features()).toArrow()
-    x = np.stack([c.to_numpy() for c in sample.columns], axis=1)
-    forests = IsolationForest(x[:, :-1]), IsolationForest(x[:, -1:])
+    sample = bounded_sample(passed, FOREST_ROWS, "doc_id", *COUNTS).select(*_features()).toArrow()
+    forests = [IsolationForest(own) for own in _split(np.stack([c.to_numpy() for c in sample.columns], axis=1))]
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
-    marked = _scored(passed.join(known, "doc_id"), forests).select(_bin("score").alias("bin"), _bin("twin_score").alias("twin_bin"), "label")
-    # a row for each pair of bins at most
-    hist = marked.groupBy("bin", "twin_bin", "label").agg(F.count("*").alias("n")).collect()
-    first, twins = Counter(), Counter()
-    for r in hist:
-        first[r.bin, r.label] += r.n
-    threshold = _threshold(first)
-    for r in hist:
-        if r.bin < threshold:
-            twins[r.twin_bin, r.label] += r.n
-    good = sum(r.n for r in hist if r.label == 1)
-    return forests, (threshold, _threshold(twins, good - sum(n for (_, x), n in twins.items() if x == 1)))
+    marked = written(_scored(passed.join(known, "doc_id"), forests).select("scores", "label"), "marked")
+    good, thresholds = marked.where("label = 1").count(), []
+    for k in range(len(FAMILIES)):
+        # two rows for each bin at most
+        hist = Counter({(r.bin, r.label): r.n for r in marked.groupBy(_bin(k).alias("bin"), "label").agg(F.count("*").alias("n")).collect()})
+        thresholds.append(_threshold(hist, good - sum(n for (_, x), n in hist.items() if x == 1)))
+        marked = marked.where(_bin(k) < thresholds[-1])
+    return forests, thresholds
 
 
 def _threshold(hist: dict[tuple[int, int], int], lost: int = 0) -> int:
@@ -225,13 +226,16 @@ def _threshold(hist: dict[tuple[int, int], int], lost: int = 0) -> int:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """docs without the rows whose text the rules or the forest reject; all columns stay, and no text is shuffled."""
+    """docs without the rows whose text the rules or a forest reject; no text is shuffled.
+
+    All columns stay, whatever their names. A null or empty text has no words and goes. Repeated rows stay or go together.
+    """
     counts = written(rule_counts(docs, id_col, text_col).withColumn("base_failed", base_failed()), "counts")
     forests, thresholds = _fitted(counts, labels, id_col, label_col)
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
-        for texts in batches:
+        for texts in slices(batches):
             rows = [counts_of(t, hashes) for t in texts_of(texts)]
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in COUNTS], list(COUNTS))
 

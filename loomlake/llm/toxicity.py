@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import bounded_sample, small_batches, split_of, written
+from loomlake.llm.common import bounded_sample, slices, split_of, written
 from loomlake.llm.decontaminate import words_of
 
 #: Labelled rows that are learned from.
@@ -82,7 +82,7 @@ def _lexicon(docs: DataFrame) -> frozenset[bytes]:
     """The terms of toxic texts. docs: (text, toxic) of a bounded number of rows."""
 
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             yield pa.array([[t.decode() for t in terms_of(x or "")] for x in texts.to_pylist()], pa.list_(pa.string()))
 
     terms = docs.select("toxic", F.explode(F.arrow_udf(split, "array<string>")("text")).alias("term"))
@@ -98,7 +98,7 @@ def _featured(docs: DataFrame, lexicon: frozenset[bytes]) -> DataFrame:
 
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hits = _Hits(sent.value)
-        for texts in batches:
+        for texts in slices(batches):
             rows = [features_of(x or "", hits) for x in texts.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([float(r[i]) for r in rows], pa.float64()) for i in range(len(FEATURES))], list(FEATURES))
 
@@ -110,15 +110,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Labels are learned from rows whose crc32 of the id, mod 4, is not 2, and at most about TRAIN_ROWS of them. A null or
     empty text has zero features and a score like others. Rows without an id are scored and not held out. Repeated rows
-    get the same score each; labels of one id that differ count each. Without labels of both kinds among the rows of the
+    get the same score each; equal labels of one id count once, different ones each. Without labels of both kinds among the rows of the
     trees or of the calibration, every score is the share of toxic labels. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held_out = F.coalesce(split_of("doc_id", 4) == 2, F.lit(False))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out)
-    known = written(bounded_sample(known, TRAIN_ROWS, F.col("doc_id")).withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5))), "labels")
+    known = written(bounded_sample(known, TRAIN_ROWS, "doc_id", "toxic").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5))), "labels")
     of = lambda df, part: df.where(F.col("part").isin(*PARTS[part]))
 
     # at most about TRAIN_ROWS rows are broadcast
