@@ -8,6 +8,7 @@ by itself, so that no task's work grows with the input.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import small_batches, texts_of
+from loomlake.llm.common import segments, slices, texts_of
 
 CAPACITY = 2048
 END_ID = 1
@@ -31,14 +32,18 @@ GROUP_ROWS = 20_000
 CACHE_WORDS = 1 << 20
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
-_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s\x00-\x1fa-z0-9]+|[\x00-\x1f]+")
+# How a tokenizer must prepare texts so that words between white space are independent of each other.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(rb"([A-Za-z]+)([,.]?)")
 
 
 class TokenIds(dict):
     """A word between ASCII white space -> its ids, as bytes of little-endian 32-bit numbers.
 
-    The tokenizer drops white space, so that words are independent. It is slow on what it has not seen, so plain words go
-    to its model directly, and a trailing comma or stop is taken off first.
+    A tokenizer that drops white space and joins nothing across it is asked word by word, and what it said is remembered;
+    ASCII letters go to its model directly, and a comma or stop after them is a word of its own. Strings of added tokens
+    part the text beforehand. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str = TOKENIZER):
@@ -46,40 +51,44 @@ class TokenIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        # byte -> printable character, as byte-level models spell bytes
-        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        spelled = {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in keep)}
-        self.spelled = [spelled[b] for b in range(256)]
+        made = json.loads(self.tokenizer.to_str())
+        split, *rest = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        added = made["added_tokens"]
+        self.by_word = (
+            (made["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+            and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+            and (made["model"]["type"], made["model"]["dropout"], made["model"].get("ignore_merges")) == ("BPE", None, False)
+            and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+        )
+        self.added = {t["content"].encode(): _bytes([t["id"]]) for t in added}
+        self.parts = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + b")") if added else None
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        text = word.decode()
-        if text.isascii():
-            low = word.lower()
-            if low.isalpha():
-                ids = _bytes([t.id for t in self.model.tokenize(low.decode())])
-            elif len(parts := _PIECES.findall(low)) > 1:
-                ids = b"".join([self[p] for p in parts])
-            else:
-                ids = self._whole(text)
-        elif text[-1] in ",." and text[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1:]]
-        elif text.isalpha() and max(text) < "Ā":  # composed letters with one lower-case form each
-            ids = _bytes([t.id for t in self.model.tokenize("".join([self.spelled[b] for b in text.lower().encode()]))])
+        plain = _PLAIN.fullmatch(word)
+        if plain and not plain[2]:
+            ids = _bytes([t.id for t in self.model.tokenize(word.lower().decode())])
+        elif plain:
+            ids = self[plain[1]] + self[plain[2]]
         else:
-            ids = self._whole(text)
+            ids = self._whole(word)
         self[word] = ids
         return ids
 
-    def _whole(self, text: str) -> bytes:
-        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _whole(self, text: bytes) -> bytes:
+        return _bytes(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
 
     def of(self, data: bytes) -> bytes:
         """Ids of a text, and END_ID."""
-        return b"".join([self[w] for w in data.split()]) + _bytes([END_ID])
+        if not self.by_word:
+            return self._whole(data) + _bytes([END_ID])
+        parts = self.parts.split(data) if self.parts else [data]
+        # every second part is the string of an added token
+        found = [self.added[x] if k % 2 else b"".join([b"".join([self[w] for w in piece.split()]) for piece in segments(x)]) for k, x in enumerate(parts)]
+        return b"".join(found) + _bytes([END_ID])
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -123,7 +132,7 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pack_group(group: pd.DataFrame) -> pd.DataFrame:
     """All pieces of a group of documents with their sequences; its sequences are numbered from group << 32."""
-    group = group.sort_values(["doc_tokens", "key", "doc_id"], ascending=[False, True, True])
+    group = group.sort_values(["doc_tokens", "key", "doc_id", "nth"], ascending=[False, True, True, True])
     rows = [(d, s, n, c, t) for d, t, crcs in zip(group.doc_id, group.doc_tokens, group.crcs, strict=True) for (s, n), c in zip(pieces_of(t), crcs, strict=True)]
     out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
     out["doc_id"] = out.doc_id.astype("Int64")
@@ -140,24 +149,25 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece of each row of docs.
 
     A null or empty text is one piece of the end id. Repeated rows are packed each; ids may be null. Other columns are not
-    read. An empty table gives an empty one. Sequence numbers have gaps, and are the same for the same rows.
+    read. An empty table gives an empty one. Sequence numbers have gaps. Documents are dealt to groups by their id, their
+    tokens and their place in the partition that they are read in, so that rows repeated many times spread over all groups.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 256)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _WORKER.setdefault(tokenizer, TokenIds(tokenizer)) if tokenizer not in _WORKER else _WORKER[tokenizer]
-        for b in batches:
+        seen = 0
+        for b in slices(batches):
+            nth, seen = pa.array(range(seen, seen + b.num_rows), pa.int64()), seen + b.num_rows
             sizes, crcs, keys = [], [], []
             for text in texts_of(b):
                 data = ids.of(text)
                 sizes.append(len(data) // 4)
                 crcs.append([zlib.crc32(data[4 * s : 4 * (s + n)]) for s, n in pieces_of(sizes[-1])])
                 keys.append(zlib.crc32(data))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "key", "crcs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), nth], names=["doc_id", "doc_tokens", "key", "crcs", "nth"])
 
     groups = max(1, -(-docs.count() // GROUP_ROWS))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = own.mapInArrow(tokenize, "doc_id long, doc_tokens long, key long, crcs array<long>")
-    counted = counted.withColumn("group", F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)))
+    counted = own.mapInArrow(tokenize, "doc_id long, doc_tokens long, key long, crcs array<long>, nth long")
+    counted = counted.withColumn("group", F.pmod(F.xxhash64("doc_id", "key", "nth"), F.lit(groups)))
     return counted.groupBy("group").applyInPandas(_pack_group, PACKED)
