@@ -2,7 +2,8 @@
 
 A value after a word such as `password` is segmented by dynamic programming into words, dates, repeats, keyboard walks
 and brute-force spans so that the guesses of all segments are fewest; a value that still takes at least MIN_GUESSES is a
-secret, while `password: changeme` is not.
+secret, while `password: changeme` is not. Words are those of passwords and placeholders, and then the words of the corpus
+in order of the documents that hold them, in whatever languages it has.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import small_batches
+from loomlake.llm.common import slices
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value is a secret.
 MIN_GUESSES = 8.0
+#: Words of the corpus in the dictionary, of so many letters, which so many documents hold at least.
+CORPUS_WORDS, LETTERS, MIN_DOCS = 30_000, (3, 24), 5
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}", re.ASCII)
@@ -36,7 +39,10 @@ _GAP = re.compile(r"""["']?[\x20\t]*["'`]?""", re.ASCII)
 _VALUE = re.compile(r"[!-&(-_a-~]*", re.ASCII)
 #: No match of a context or an assignment without one of these.
 _HINT = re.compile(r"pass|pwd|secret|token|cred|key", re.ASCII | re.IGNORECASE)
-_DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
+_DATES = tuple(
+    re.compile(p, re.ASCII)
+    for p in (r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", r"(?:19|20)\d\d")
+)
 
 # Frequent words of passwords and placeholders, most frequent first, and rows of the keyboard.
 WORDS = (
@@ -49,61 +55,110 @@ WORDS = (
 ).split()
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 
-_COST = {w: math.log10(rank + 2) for rank, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("4@301!5$7", "aaeoiisst")
 _NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], row)]}
+#: Widths of blocks that may be said again.
+BLOCKS = (2, 3, 4, 5, 6, 8)
+
+
+class Dictionary:
+    """Words and the log10 of their guesses, which follow from their rank: WORDS come first, then others as given."""
+
+    def __init__(self, others: list[str] = ()):
+        self.cost: dict[str, float] = {}
+        for w in [*WORDS, *others]:
+            self.cost.setdefault(w, math.log10(len(self.cost) + 2))
+        self.longest = max(map(len, self.cost))
+
+
+DICTIONARY = Dictionary()
 
 
 def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+class _Starts:
+    """Starts of a run (a walk or a repeat) that may still be the best: cost of a span = best at its start + log10 of its length.
+
+    A start that is no better than an earlier and cheaper one never gets better again, since the lengths draw nearer to
+    each other; one that a later and cheaper start has caught up with is behind for good. So few starts are kept, and none
+    that is left out could be best.
+    """
+
+    def __init__(self):
+        self.live: list[tuple[int, float]] = []
+
+    def add(self, start: int, best: float) -> None:
+        while self.live and self.live[-1][1] >= best:
+            self.live.pop()
+        self.live.append((start, best))
+
+    def least(self, end: int) -> float:
+        costs = [b + math.log10(end - s) for s, b in self.live]
+        kept, low = [], math.inf
+        for x, c in zip(self.live, costs):
+            if c < low:
+                kept.append(x)
+                low = c
+        self.live = kept
+        return low
+
+
+def guess_cost(value: str, enough: float = math.inf, words: Dictionary = DICTIONARY) -> float:
     """log10 of the guesses of the cheapest segmentation of value; `enough` where all segmentations take that many."""
     low, n = value.lower(), len(value)
+    if len(low) != n:  # a letter whose lower case has several code points
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if m := _DATE.match(low, i):
-            dates.setdefault(i, []).append(m.end())
-    walk = rep = 0  # where the walk and the repeat that hold character j began
+    ends: dict[int, list[int]] = {}
+    for pattern in _DATES:
+        for i in range(n):
+            if m := pattern.match(low, i):
+                ends.setdefault(i, []).append(m.end())
+    walks, repeats = _Starts(), _Starts()
+    walk = rep = 0  # where the longest walk and repeat that hold character j began
     for j in range(n):
         if j and (low[j - 1], low[j]) not in _NEXT:
-            walk = j
+            walk, walks = j, _Starts()
         if j and low[j] != low[j - 1]:
-            rep = j
-        upper = 0.3 if value[j].isupper() else 0.0
-        best[j + 1] = min(best[j + 1], best[j] + _brute(low[j]) + upper)
-        for i in range(max(0, j - _LONGEST + 1), j - 1):
-            cost = _COST.get(low[i : j + 1])
-            if cost is None and (cost := _COST.get(plain[i : j + 1])) is not None:
+            rep, repeats = j, _Starts()
+        own = best[j] + _brute(low[j]) + (0.3 if value[j].isupper() else 0.0)
+        for i in range(max(0, j - words.longest + 1), j - 1):
+            cost = words.cost.get(low[i : j + 1])
+            if cost is None and (cost := words.cost.get(plain[i : j + 1])) is not None:
                 cost += 0.5
             if cost is not None:
-                best[j + 1] = min(best[j + 1], best[i] + cost + (0.3 if value[i : j + 1] != low[i : j + 1] else 0.0) + 0.3)
+                own = min(own, best[i] + cost + (0.3 if value[i : j + 1] != low[i : j + 1] else 0.0) + 0.3)
+        # walks and repeats have three characters at least
         if j - walk >= 2:
-            best[j + 1] = min(best[j + 1], best[walk] + math.log10(47 * 2 * (j - walk + 1)))
+            walks.add(j - 2, best[j - 2])
+            own = min(own, walks.least(j + 1) + math.log10(47 * 2))
         if j - rep >= 2:
-            best[j + 1] = min(best[j + 1], best[rep] + _brute(low[j]) + math.log10(j - rep + 1))
-        for e in dates.get(j, ()):
-            best[e] = min(best[e], best[j] + (2.1 if e - j == 4 else 4.6))
-        for w in (2, 3, 4, 5, 6, 8):  # a block said again, as in abcabc
+            repeats.add(j - 2, best[j - 2])
+            own = min(own, repeats.least(j + 1) + _brute(low[j]))
+        for w in BLOCKS:  # a block said again, as in abcabc
             if j + 1 >= 2 * w and low[j + 1 - w : j + 1] == low[j + 1 - 2 * w : j + 1 - w]:
-                best[j + 1] = min(best[j + 1], best[j + 1 - w] + 0.3)
-        # every segmentation goes on from one of these places: words and blocks reach back, dates ahead, by _LONGEST at most
-        if j % 32 == 31 and min(best[walk], best[rep], *best[max(0, j - _LONGEST) : j + 2 + _LONGEST]) >= enough:
-            return enough
+                own = min(own, best[j + 1 - w] + 0.3)
+        best[j + 1] = min(best[j + 1], own)
+        for e in ends.get(j, ()):
+            best[e] = min(best[e], best[j] + (2.1 if e - j == 4 else 4.6))
+        # every segmentation goes on from one of these places
+        if j % 32 == 31:
+            near = best[max(0, j + 1 - words.longest) : j + 12]
+            if min(b for b in [*near, *[b for _, b in walks.live], *[b for _, b in repeats.live]] if b < math.inf) >= enough:
+                return enough
     return best[n]
 
 
-def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
+def find_secrets(text: str | None, words: Dictionary = DICTIONARY) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of a text in code points, end exclusive, by start and then by kind."""
     text = text or ""
     found = [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)] + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     if _HINT.search(text):
         found += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
-        found += [(s, e, "guess") for s, e in _guesses(text, sorted(x[:2] for x in found))]
+        found += [(s, e, "guess") for s, e in _guesses(text, sorted(x[:2] for x in found), words)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -119,7 +174,7 @@ class _Runs:
         return self.stop
 
 
-def _guesses(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _guesses(text: str, base: list[tuple[int, int]], words: Dictionary) -> list[tuple[int, int]]:
     """Spans of values after credential words, outside the spans of base (sorted) and of each other.
 
     Every word is looked at, also one that stands where the value of another is sought. After a separator all values
@@ -142,7 +197,7 @@ def _guesses(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 dull = e
                 return
         e -= e - s - len(text[s:e].rstrip(".,;:!?)\"'"))
-        if e - s >= 6 and (parted or _is_value(text[s:e])) and guess_cost(text[s:e], MIN_GUESSES) >= MIN_GUESSES:
+        if e - s >= 6 and (parted or _is_value(text[s:e])) and guess_cost(text[s:e], MIN_GUESSES, words) >= MIN_GUESSES:
             out.append((s, e))
 
     def parted(at: int) -> re.Match | None:
@@ -175,20 +230,31 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def corpus_words(docs: DataFrame, text_col: str = "text") -> Dictionary:
+    """The dictionary of a corpus: its CORPUS_WORDS most frequent words, counted over all whole texts, ties by the word.
+
+    A word counts once for each document; what stands in less than MIN_DOCS of them is no word. Nulls and empty texts have
+    none. No more than CORPUS_WORDS rows reach the driver.
+    """
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")
+    counts = docs.select(word).where(F.length("word").between(*LETTERS)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    return Dictionary([r.word for r in counts.orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()])
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Dictionary | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess), a row for each row of docs.
 
-    A null or empty text has no spans; its base_sha256 is that of the empty string. Repeated rows each have their row, a
-    null id stays. Spans of different kinds may overlap; `guess` spans lie outside all others. An empty table gives an
-    empty one. Other columns are not read.
+    words: the dictionary of guesses, by default that of docs. A null or empty text has no spans; its base_sha256 is that
+    of the empty string. Repeated rows each have their row, a null id stays. Spans of different kinds may overlap; `guess`
+    spans lie outside all others. An empty table gives an empty one. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(words or corpus_words(docs, text_col))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")}
             for text in b.column("text"):
-                spans = find_secrets(text.as_py())
+                spans = find_secrets(text.as_py(), sent.value)
                 base = [x for x in spans if x[2] != "guess"]
                 for kind in KINDS:
                     rows[f"n_{kind}"].append(sum(x[2] == kind for x in spans))
@@ -201,15 +267,18 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return own.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
-    """docs with every secret of the text replaced by a mark; null texts stay null, all columns stay as they are."""
-    small_batches(docs.sparkSession)
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>", words: Dictionary | None = None) -> DataFrame:
+    """docs with every secret of the text replaced by a mark.
+
+    words: as in `secret_spans`. Null and empty texts stay, all rows and columns stay, also repeated ones.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(words or corpus_words(docs, text_col))
 
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             out = []
             for text in texts.to_pylist():
-                spans = find_secrets(text)
+                spans = find_secrets(text, sent.value)
                 at, parts = 0, []
                 for s, e, _ in spans:
                     if s >= at:
