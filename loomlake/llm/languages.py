@@ -8,7 +8,6 @@ that of most letters.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import bounded_sample, small_batches, split_of
+from loomlake.llm.common import bounded_sample, slices, split_of
 
-#: Texts from which the trigrams are counted, chosen by a hash of the text.
+#: Texts from which the trigrams are counted, chosen by a hash of the row.
 TRAIN_ROWS = 20_000
 SLOTS = 1 << 16
 SWITCH = 12.0
@@ -43,7 +42,6 @@ N_SCRIPTS = 29
 _STARTS = np.array([a for a, _ in RANGES], np.uint32)
 _SCRIPTS = np.array([b for _, b in RANGES], np.uint8)
 _LOW = _SCRIPTS[np.searchsorted(_STARTS, np.arange(0x3000), "right") - 1]
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def scripts_of(codes: np.ndarray) -> np.ndarray:
@@ -75,6 +73,8 @@ class Languages:
         p = (counts + 0.5) / (counts.sum(axis=0) + 0.5 * SLOTS) if names else counts
         self.logs = np.log(p).astype(np.float32)
         self.fits = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
+        #: the language of most training letters, for texts whose letters tell nothing; ties in order of the name
+        self.usual = int(scripts.sum(axis=0).argmax()) if names else 0
         self.fits[:, :] |= ~self.fits.any(axis=1)[:, None]  # a script that no language uses tells nothing
 
     def word_scores(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -120,27 +120,34 @@ class Languages:
         return [(int(a), int(b), self.names[path[a]]) for a, b in zip(cuts, cuts[1:])]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language of most letters and its share of them; und and 0 without a letter or a learned language."""
-        if not text or not self.names or not _LETTER.search(text):
+        """The language of most letters and its share of them; und and 0 without a letter or a learned language.
+
+        Of languages with equal shares the first by name is taken. Where no letter lies in a known range, it is the usual
+        language, with the score of a guess.
+        """
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0
         share = np.zeros(len(self.names))
         for i in range(0, len(text), PIECE):
             scores, letters = self.word_scores(text[i : i + PIECE])
             np.add.at(share, self.path(scores), letters)
-        if not share.any():  # letters outside all ranges
-            share[0] = 1
+        if not share.any():
+            return self.names[self.usual], 1 / len(self.names)
         return self.names[int(share.argmax())], float(share.max() / share.sum())
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Languages:
-    """Languages of docs, whose texts and languages are taken as they are, from about TRAIN_ROWS rows of them."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    rows = bounded_sample(rows, TRAIN_ROWS, F.col("text"))
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Languages:
+    """Languages of docs, whose texts and languages are taken as they are, from at most about TRAIN_ROWS rows of them.
+
+    Rows are chosen by a hash of id and text, and repeated ones count once. Rows without a text or a language teach nothing.
+    """
+    names = {"id": id_col, "text": text_col, "lang": lang_col}
+    rows = docs.select(*[F.col(c).cast("string").alias(k) for k, c in names.items()]).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = bounded_sample(rows, TRAIN_ROWS, "id", "text").drop("id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 own = grams.setdefault(lang, np.zeros(SLOTS + N_SCRIPTS, np.int64))
                 for i in range(0, len(text), PIECE):
@@ -160,12 +167,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
 
 
 def identify(docs: DataFrame, languages: Languages, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score of each text; `und` for a null, or for a text without a letter."""
-    small_batches(docs.sparkSession)
+    """docs with lang_pred and score of each text; `und` for a null, or for a text without a letter.
+
+    Columns of docs that are named like one of the two give way to it. An empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(languages)
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             names, scores = [], []
             for text in texts.to_pylist():
                 name, score = sent.value.predict(text)
@@ -173,7 +182,10 @@ def identify(docs: DataFrame, languages: Languages, text_col: str = "text") -> D
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn("_found", F.arrow_udf(predict, "lang_pred string, score double")(F.col(text_col).cast("string"))).select(*docs.columns, "_found.*")
+    found = F.arrow_udf(predict, "lang_pred string, score double")(F.col(text_col).cast("string")).alias("_found")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*own).alias("_row") if own else F.lit(None).alias("_row"), found)
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "_found.lang_pred", "_found.score")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
