@@ -4,6 +4,12 @@ Two variable-order Markov models of characters are counted from the URLs that th
 ORDER characters is interpolated with shorter ones (Witten-Bell), down to equal chances. A URL without a rule is allowed
 if the difference of its log-likelihoods, a character, reaches a threshold, which is calibrated on URLs held out from the
 counts. Runs of digits count as one character, since numbers of pages say nothing.
+
+A character and the ORDER ones before it are one number, the gram; its last bytes are the grams of the lower orders. All
+counts are exact and kept in tables, which grow with the different grams of the input: each order's counts are sums of the
+next one's, and joins of these tables give each gram the difference of its log-probabilities. The URLs then only look up
+their grams: in sorted arrays that are sent to the workers while there are MODEL_GRAMS of them at most, and by a join
+beyond that.
 """
 
 from __future__ import annotations
@@ -13,20 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import small_batches, written
+from loomlake.llm.common import slices, written
 
 #: (rule, verdict); a rule is a host and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 ORDER = 5
-#: Counters of each order and class; contexts that share one are counted together, so that a model's size is fixed.
-SLOTS = 1 << 18
+#: Different grams that are sent to the workers at most, of 16 bytes each.
+MODEL_GRAMS = 2_000_000
 #: One URL in HELD of those with a rule calibrates the threshold and is not counted.
 HELD = 5
 BINS, SPAN = 4000, 20.0
+#: Digits of a score; sums of the same numbers in another order do not change it.
+DIGITS = 9
 
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -51,84 +58,84 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def _codes(text: str) -> np.ndarray:
-    """Characters of a text after ORDER starts (1), and an end (2); UTF-8 bytes."""
-    return np.frombuffer(b"\x01" * ORDER + _DIGITS.sub("0", text).encode() + b"\x02", np.uint8).astype(np.uint64)
-
-
-def slots_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the contexts and of the contexts with their next character, a row for each order 0 to ORDER."""
-    c = _codes(text)
+def grams_of(text: str) -> np.ndarray:
+    """The grams of a text, a number for each of its UTF-8 bytes and for its end (2); before it stand ORDER starts (1)."""
+    c = np.frombuffer(b"\x01" * ORDER + _DIGITS.sub("0", text).encode() + b"\x02", np.uint8).astype(np.int64)
     n = len(c) - ORDER
-    h = np.zeros(n, np.uint64)
-    contexts, grams = np.empty((ORDER + 1, n), np.int64), np.empty((ORDER + 1, n), np.int64)
+    out = np.zeros(n, np.int64)
     for k in range(ORDER + 1):
-        if k:
-            h = (h ^ (c[ORDER - k : ORDER - k + n] + np.uint64(k * 257))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        g = (h ^ (c[ORDER:] + np.uint64(7919))) * np.uint64(0xBF58476D1CE4E5B9)
-        contexts[k], grams[k] = (h >> np.uint64(20)) % np.uint64(SLOTS), (g >> np.uint64(20)) % np.uint64(SLOTS)
-    return contexts, grams
+        out = out << 8 | c[k : k + n]
+    return out
 
 
-class Model:
-    """Counts (order, slot) of contexts, of grams, and of the different characters after a context."""
+def _counted(urls: DataFrame) -> DataFrame:
+    """(gram, a, b): how often each gram of urls (text, allow: null where it only is looked up) is allowed and blocked."""
 
-    def __init__(self):
-        self.context = np.zeros((ORDER + 1, SLOTS), np.float32)
-        self.gram = np.zeros((ORDER + 1, SLOTS), np.float32)
-        self.kinds = np.zeros((ORDER + 1, SLOTS), np.float32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [grams_of(t) for t in batch.column("text").to_pylist()]
+            allow = np.repeat([-1 if x is None else int(x) for x in batch.column("allow").to_pylist()], [len(x) for x in found])
+            grams, at = np.unique(np.concatenate(found), return_inverse=True)
+            sums = [np.bincount(at[allow == x], minlength=len(grams)) for x in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams), *[pa.array(x.astype(np.int64)) for x in sums]], names=["gram", "a", "b"])
 
-    def log_likelihood(self, contexts: np.ndarray, grams: np.ndarray) -> float:
-        p = np.full(contexts.shape[1], 1 / 256)
-        for k in range(ORDER + 1):
-            n, t = self.context[k, contexts[k]], self.kinds[k, contexts[k]]
-            p = np.where(n > 0, (np.minimum(self.gram[k, grams[k]], n) + t * p) / np.maximum(n + t, 1), p)
-        return float(np.log(np.maximum(p, 1e-12)).sum())
+    return urls.mapInArrow(count, "gram long, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _counted(urls: DataFrame) -> tuple[Model, Model]:
-    """Models of the allowed and the blocked URLs. urls: (text, allow boolean)."""
+def model(counts: DataFrame) -> DataFrame:
+    """(gram, lp): the log-probability of each gram's last character among the allowed URLs, less that among the blocked ones.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # key: class, order, slot of the context, slot of the gram; partial counts of a task
-        counts: dict[tuple[bool, int], dict[int, int]] = {(x, k): {} for x in (True, False) for k in range(ORDER + 1)}
-        held = 0
-
-        def flush():
-            rows = [(x, k, key >> 32, key & 0xFFFFFFFF, n) for (x, k), own in counts.items() for key, n in own.items()]
-            for own in counts.values():
-                own.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [()] * 5, (pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["allow", "k", "context", "gram", "n"])
-
-        for b in batches:
-            for text, allow in zip(b.column("text").to_pylist(), b.column("allow").to_pylist(), strict=True):
-                contexts, grams = slots_of(text)
-                keys = (contexts << 32) | grams
-                for k in range(ORDER + 1):
-                    own = counts[allow, k]
-                    for key in keys[k].tolist():
-                        own[key] = own.get(key, 0) + 1
-            held = sum(map(len, counts.values()))
-            if held > 300_000:
-                yield flush()
-        yield flush()
-
-    pairs = urls.mapInArrow(count, "allow boolean, k int, context long, gram long, n long")
-    pairs = pairs.groupBy("allow", "k", "context", "gram").agg(F.sum("n").alias("n"))
-    pairs = written(pairs, "grams")
-    models = {True: Model(), False: Model()}
-    # at most two tables of (ORDER + 1) * SLOTS rows come back, whatever the number of URLs
-    for row in pairs.groupBy("allow", "k", "context").agg(F.sum("n").alias("n"), F.count("*").alias("t")).toArrow().to_batches():
-        for allow, m in models.items():
-            own = row.filter(pa.compute.equal(row.column("allow"), allow))
-            at = own.column("k").to_numpy(), own.column("context").to_numpy()
-            m.context[at], m.kinds[at] = own.column("n").to_numpy(), own.column("t").to_numpy()
-    for row in pairs.groupBy("allow", "k", "gram").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        for allow, m in models.items():
-            own = row.filter(pa.compute.equal(row.column("allow"), allow))
-            m.gram[own.column("k").to_numpy(), own.column("gram").to_numpy()] = own.column("n").to_numpy()
-    return models[True], models[False]
+    counts: (gram, a, b). From order 0 up, p = (n(gram) + t * p of the next lower order) / (n(context) + t), where t is the
+    number of different characters after the context, and p of the lower order where the context does not occur.
+    """
+    # the counts of an order are sums of the next higher one's
+    tables = [counts]
+    for k in range(ORDER - 1, -1, -1):
+        tail = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")
+        tables.append(written(tables[-1].groupBy(tail).agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "grams"))
+    lower = None
+    for k, table in enumerate(reversed(tables)):
+        rows = table.withColumn("context", F.shiftright("gram", 8))
+        seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
+        contexts = rows.groupBy("context").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), seen("a").alias("ta"), seen("b").alias("tb"))
+        rows = rows.join(contexts, "context")
+        if k:
+            rows = rows.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(lower, "tail")
+        else:
+            rows = rows.withColumns({"pa": F.lit(1 / 256), "pb": F.lit(1 / 256)})
+        p = lambda x: F.when(F.col(f"n{x}") > 0, (F.col(x) + F.col(f"t{x}") * F.col(f"p{x}")) / (F.col(f"n{x}") + F.col(f"t{x}"))).otherwise(F.col(f"p{x}"))  # noqa: B023, E731
+        lower = written(rows.select(F.col("gram").alias("tail"), p("a").alias("pa"), p("b").alias("pb")), "chances")
+    floor = F.lit(1e-12)
+    return lower.select(F.col("tail").alias("gram"), (F.log(F.greatest("pa", floor)) - F.log(F.greatest("pb", floor))).alias("lp"))
+
+
+def _scored(rows: DataFrame, lps: DataFrame, n_grams: int) -> DataFrame:
+    """rows with the score of their text: the mean difference of log-probabilities of its grams."""
+    if n_grams <= MODEL_GRAMS:
+        table = lps.orderBy("gram").toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast((table.column("gram").to_numpy(), table.column("lp").to_numpy()))
+
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known, values = sent.value
+            for texts in slices(batches):
+                found = [grams_of(t) for t in texts.to_pylist()]
+                sizes = np.array([len(x) for x in found])
+                own = values[np.searchsorted(known, np.concatenate(found))]
+                yield pa.array(np.add.reduceat(own, np.r_[0, np.cumsum(sizes)[:-1]]) / sizes)
+
+        return rows.withColumn("score", F.round(F.arrow_udf(score, "double")("text"), DIGITS))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            found = [grams_of(t) for t in texts]
+            sizes = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("text").take(pa.array(np.repeat(np.arange(len(texts)), sizes))), pa.array(np.concatenate(found))], names=["text", "gram"])
+
+    # texts that many rows have are scored once; what repeats in a text is counted before it is shuffled
+    grams = rows.select("text").distinct().mapInArrow(explode, "text string, gram long").groupBy("text", "gram").agg(F.count("*").alias("n"))
+    scores = grams.join(lps, "gram").groupBy("text").agg(F.round(F.sum(F.col("n") * F.col("lp")) / F.sum("n"), DIGITS).alias("score"))
+    return rows.join(scores, "text")
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -138,28 +145,18 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     the same row each. Where the rules allow none or block none, all that has no rule is allowed. Other columns are not
     read. An empty table gives an empty one.
     """
-    spark = pages.sparkSession
-    small_batches(spark, 4096)
     host, path = host_path(url_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "by_rule": verdict, "text": F.concat("host", "path")})
-    known = rows.where("by_rule IS NOT NULL").select("text", (F.col("by_rule") == "allow").alias("allow"), (F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0).alias("held"))
-    allow, block = _counted(known.where("NOT held").select("text", "allow"))
-    sent = spark.sparkContext.broadcast((allow, block))
-
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        good, bad = sent.value
-        for texts in batches:
-            out = []
-            for text in texts.to_pylist():
-                contexts, grams = slots_of(text)
-                out.append((good.log_likelihood(contexts, grams) - bad.log_likelihood(contexts, grams)) / contexts.shape[1])
-            yield pa.array(out, pa.float64())
-
-    scored = lambda df: df.withColumn("score", F.arrow_udf(score, "double")("text"))
+    held = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
+    counts = written(_counted(rows.select("text", F.when(~held, F.col("by_rule") == "allow").alias("allow"))), "grams")
+    lps = written(model(counts), "model")
+    scored = lambda df: _scored(df, lps, counts.count())
     binned = F.floor((F.col("score") + SPAN / 2) / SPAN * BINS).cast("int")
-    hist = scored(known.where("held")).groupBy(binned.alias("bin"), "allow").agg(F.count("*").alias("n")).collect()
+    known = rows.where(held & F.col("by_rule").isNotNull()).select("text", (F.col("by_rule") == "allow").alias("allow"))
+    # at most two rows for each of BINS bins
+    hist = scored(known).groupBy(binned.alias("bin"), "allow").agg(F.count("*").alias("n")).collect()
     threshold = _threshold({(r.bin, r.allow): r.n for r in hist}) * SPAN / BINS - SPAN / 2
     judged = F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
     return scored(rows).select("page_id", "host", "path", "rule", F.coalesce("by_rule", judged).alias("verdict"), "score")
@@ -172,7 +169,7 @@ def _threshold(hist: dict[tuple[int, bool], int]) -> int:
     """
     good, bad = (sum(n for (_, x), n in hist.items() if x is kind) for kind in (True, False))
     if not good or not bad:
-        return 0
+        return -BINS
     bins = sorted({b for b, _ in hist})
     best, least, lost, passed = bins[0], 1.0, 0, bad
     for b, after in zip(bins, [*bins[1:], bins[-1] + 1]):
