@@ -77,6 +77,24 @@ def html_escape(text: str | Column) -> Column:
     return c
 
 
+def cut_text(text: str | Column, n: int) -> Column:
+    """The first n characters."""
+    return F.left(_col(text), F.lit(n))
+
+
+def new_session_id(client_id: str | Column) -> Column:
+    """The id of a new session of a client: its own id, a colon, and a random uuid."""
+    return F.concat(_col(client_id), F.lit(":"), F.uuid())
+
+
+def markdown_html(text: str | Column) -> Column:
+    """Escaped text with bold and code spans and line breaks as HTML."""
+    c = html_escape(text)
+    c = F.regexp_replace(c, r"\*\*([^*\n]+)\*\*", "<strong>$1</strong>")
+    c = F.regexp_replace(c, "`([^`\n]+)`", "<code>$1</code>")
+    return F.replace(c, F.lit("\n"), F.lit("<br>"))
+
+
 def data_url(path: str | Column, content: str | Column) -> Column:
     """An image as a data URL; unknown extensions count as png."""
     ext = F.lower(F.regexp_extract(_col(path), r"\.([A-Za-z0-9]+)$", 1))

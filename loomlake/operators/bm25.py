@@ -44,16 +44,42 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc"), toks.alias("toks")).withColumn("dl", F.size("toks").cast("long"))
     postings = rows.select("doc", "dl", F.explode("toks").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "dl")
     corpus = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return Index(postings, term_statistics(postings, corpus), corpus)
+
+
+def terms_of(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the different terms of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+
+
+def index_for(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The part of the index that a batch of queries needs: postings and statistics of their terms, lengths of all docs.
+
+    Other terms are dropped before anything is grouped or shuffled.
+    """
+    toks = tokens(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("doc"), toks.alias("toks")).withColumn("dl", F.size("toks").cast("long"))
+    wanted = terms_of(queries).select("term").distinct()
+    found = rows.select("doc", "dl", F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
+    postings = found.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "dl")
+    corpus = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return Index(postings, term_statistics(postings, corpus), corpus)
+
+
+def term_statistics(postings: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, df, idf) of postings; corpus (n, avgdl) has one row, of several the first by n counts."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    term_stats = df.join(corpus.select("n")).select("term", "df", idf.alias("idf"))
-    return Index(postings, term_stats, corpus)
+    return df.crossJoin(_one_row(corpus).select("n")).select("term", "df", idf.alias("idf"))
+
+
+def _one_row(corpus: DataFrame) -> DataFrame:
+    return corpus.orderBy("n").limit(1)
 
 
 def bm25_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc, score) of all documents that share a term with a query; queries: (query_id, text)."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    hits = index.postings.join(wanted, "term").join(index.term_stats.select("term", "idf"), "term").join(index.corpus_stats)
+    hits = index.postings.join(terms_of(queries), "term").join(index.term_stats.select("term", "idf"), "term").crossJoin(_one_row(index.corpus_stats).select("avgdl"))
     avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     return hits.groupBy("query_id", "doc").agg(F.round(F.sum(part), 6).alias("score"))

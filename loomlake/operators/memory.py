@@ -9,15 +9,20 @@ WINDOW_TURNS = 5
 
 
 def pair_turns(messages: DataFrame, session: str = "conv_id") -> DataFrame:
-    """(session, turn, query, answer): each user message with the next message, if that is the assistant's."""
-    order = Window.partitionBy(session).orderBy("turn")
+    """(session, turn, query, answer): each user message with the next message, if that is the assistant's.
+
+    Messages of one turn stand in order of role (user, then assistant, then others) and text.
+    """
+    place = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
+    order = Window.partitionBy(session).orderBy("turn", place, "role", "text")
     rows = messages.withColumn("next_role", F.lead("role").over(order)).withColumn("answer", F.lead("text").over(order))
     return rows.where("role = 'user' AND next_role = 'assistant'").select(session, "turn", F.col("text").alias("query"), "answer")
 
 
 def last_turns(turns: DataFrame, n: int = WINDOW_TURNS, session: str = "conv_id", order: str = "turn") -> DataFrame:
-    """The last n turns of each session."""
-    back = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order)))
+    """The last n turns of each session; of equal turns the one of the greater query, then answer, counts as later."""
+    ties = [F.desc(c) for c in ("query", "answer") if c in turns.columns]
+    back = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order), *ties))
     return turns.withColumn("_back", back).where(F.col("_back") <= n).drop("_back")
 
 
@@ -28,12 +33,18 @@ def history_text(turns: DataFrame, n: int = WINDOW_TURNS, session: str = "conv_i
     return rows.select(session, F.array_join(F.transform("x", lambda x: x.s), "\n\n").alias("history"))
 
 
-def session_list(turns: DataFrame, client_id: str | None = None) -> DataFrame:
-    """(session_id, turns, last_active), most recent first. turns: (session_id, field, timestamp); only numeric fields count."""
+def without_history(queries: DataFrame) -> DataFrame:
+    """Queries whose history is null or blank: only their answers may come from the cache or go into it."""
+    return queries.where(F.coalesce(F.regexp_replace("history", r"(?U)\s+", ""), F.lit("")) == "")
+
+
+def session_list(turns: DataFrame, client_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """(session_id, turns, last_active), most recent first, `limit` at most. turns: (session_id, field, timestamp); only numeric fields count."""
     rows = turns.where(F.col("field").rlike("^[0-9]+$"))
     if client_id:
         rows = rows.where(F.col("session_id").startswith(f"{client_id}:"))
-    return rows.groupBy("session_id").agg(F.count("*").alias("turns"), F.max("timestamp").alias("last_active")).orderBy(F.desc("last_active"), "session_id")
+    found = rows.groupBy("session_id").agg(F.count("*").alias("turns"), F.max("timestamp").alias("last_active")).orderBy(F.desc("last_active"), "session_id")
+    return found if limit is None else found.limit(limit)
 
 
 def merge_sessions(hot: DataFrame, cold: DataFrame) -> DataFrame:

@@ -1,50 +1,85 @@
-"""The chunk store: files in, chunks, index, terms and sources out."""
+"""The chunk store: files in, chunks, index, vectors, terms and sources out."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from loomlake.functions.text import text_key, tokens
 from loomlake.operators import bm25, chunking, ingest, terms
-from loomlake.plans.retrieve import retrieve
+from loomlake.plans.retrieve import hashed_embedding, retrieve
 from loomlake.sources import files as readers
 
-COLUMNS = "source string, chunk_id int, page_content string, heading string, heading_level int, chapter string, doc_type string, operator string, create_time timestamp"
+#: Parts of every table by a hash of the source; an upload writes the parts of its sources anew and no others.
+BUCKETS = 64
+TABLES = {
+    "chunks": "source string, chunk_id int, chunk long, page_content string, text_key string, heading string, heading_level int, chapter string, doc_type string, "
+    "images array<string>, image_count int, image_description string, operator string, create_time timestamp",
+    "postings": "source string, doc long, term string, tf long, dl long",
+    "lengths": "source string, doc long, dl long",
+    "vectors": "source string, chunk long, embedding array<double>",
+    "terms": "source string, term string, n long, term_rank int, source_seq string",
+}
+LEDGER = "md5 string, source string, total long, ingested_at timestamp"
+STATS = "source string, total long, inserted long, skipped long, deleted long, msg string"
 
 
 class KnowledgeBase:
-    """Tables under one path: chunks, ledger. Every version is written beside the last one and then named as current."""
+    """Tables under one path: chunks and what is derived from them, by bucket of the source, and the ledger of known files.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    An upload replaces whole buckets by Spark's dynamic partition overwrite and adds to the ledger last: if it breaks off,
+    the same files are new again and replace what it had written. One upload runs at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[str], Column] = hashed_embedding, script: str | None = terms.CHINESE):
+        self.spark, self.path, self.embed, self.script = spark, path.rstrip("/"), embed, script
 
     def _read(self, name: str, schema: str) -> DataFrame:
+        """A table; one that was never written is empty, and any other failure is one."""
         try:
-            current = self.spark.read.text(f"{self.path}/{name}/current").first()[0]
-        except AnalysisException:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{current}")
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}/current")
+    def _table(self, name: str) -> DataFrame:
+        # a bucket has one row without a source, so that it can be emptied
+        return self._read(name, TABLES[name] + ", bucket int").where("source IS NOT NULL").drop("bucket")
+
+    def _replace(self, name: str, new: DataFrame, gone: DataFrame) -> None:
+        """Writes the buckets of the sources in gone anew: what they hold of other sources, and new."""
+        bucket = F.pmod(F.xxhash64("source"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        touched = gone.select(bucket).distinct()
+        old = self._read(name, TABLES[name] + ", bucket int").join(F.broadcast(touched), "bucket", "left_semi")  # at most BUCKETS rows
+        kept = old.where("source IS NOT NULL").join(gone.select("source").distinct(), "source", "left_anti")
+        columns = [f.name for f in self.spark.createDataFrame([], TABLES[name]).schema]
+        rows = kept.select(*columns, "bucket").unionByName(new.select(*columns, bucket)).unionByName(touched, allowMissingColumns=True)
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        again = self.spark.read.schema(TABLES[name] + ", bucket int").parquet(staged).repartition("bucket")
+        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", COLUMNS)
+        return self._table("chunks")
 
     def ledger(self) -> DataFrame:
-        return self._read("ledger", "md5 string, source string")
+        return self._read("ledger", LEDGER)
 
     def parse(self, files: DataFrame) -> DataFrame:
-        """Chunks of files (source, content, md5, ext) of all formats."""
-        plain = chunking.markdown_chunks(readers.texts(files)).withColumns({"chapter": F.lit(""), "doc_type": F.lit("paragraph")})
-        word = chunking.block_chunks(readers.docx_blocks(files))
-        sheets = chunking.sheet_chunks(readers.xlsx_rows(files)).withColumns({"chunk_id": F.col("part"), "heading_level": F.lit(0), "chapter": F.col("sheet_name"), "doc_type": F.lit("sheet")})
-        columns = ["source", "chunk_id", "page_content", "heading", "heading_level", "chapter", "doc_type"]
+        """Chunks of files (source, content, md5, ext) of all formats, with the names of their images."""
+        none = F.array().cast("array<string>")
+        plain = chunking.markdown_chunks(readers.texts(files)).withColumns({"chapter": F.lit(""), "doc_type": F.lit("paragraph"), "images": none})
+        blocks = readers.docx_blocks(files)
+        word = chunking.block_chunks(blocks)
+        images = ingest.chunk_images(chunking.block_places(blocks), ingest.image_names(readers.docx_images(files)))
+        word = word.join(images, ["source", "chunk_id"], "left").withColumn("images", F.coalesce("images", none))
+        sheets = chunking.sheet_chunks(readers.xlsx_rows(files)).withColumns({"chunk_id": F.col("part"), "heading_level": F.lit(0), "chapter": F.col("sheet_name"), "doc_type": F.lit("sheet"), "images": none})
+        columns = ["source", "chunk_id", "page_content", "heading", "heading_level", "chapter", "doc_type", "images"]
         out = plain.select(columns).unionByName(word.select(columns)).unionByName(sheets.select(columns))
         try:
             pages = readers.pdf_pages(files)
@@ -52,34 +87,77 @@ class KnowledgeBase:
             if files.where("ext = '.pdf'").isEmpty():
                 return out
             raise
-        return out.unionByName(chunking.page_line_chunks(pages).withColumn("doc_type", F.lit("paragraph")).select(columns))
+        return out.unionByName(chunking.pdf_chunks(pages).select(columns))
 
-    def upload(self, path: str, operator: str = "") -> DataFrame:
+    def upload(self, path: str, operator: str = "", describe: Callable[[Column, Column], Column] | None = None) -> DataFrame:
         """Reads the files under a path, replaces the chunks of changed ones, and returns the counts of each source."""
-        files = readers.read_files(self.spark, path)
+        return self.ingest(readers.read_files(self.spark, path), operator, describe)
+
+    def ingest(self, files: DataFrame, operator: str = "", describe: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+        """`upload` of files (source, content, md5, ext). Only files that the ledger does not hold are parsed, and once.
+
+        describe(name, bytes) gives the text of an image; without it chunks have the names of their images alone.
+        """
         ledger, existing = self.ledger(), self.chunks()
         fresh = ingest.new_files(files, ledger)
-        new = ingest.not_blank(self.parse(fresh)).withColumns({"operator": F.lit(operator), "create_time": F.current_timestamp()})
-        stats = ingest.upload_stats(existing, files.select("source", "md5"), self.parse(files), ledger)
-        self._write("stats", stats)
-        self._write("chunks", ingest.replace_by_source(existing, new, fresh))
-        self._write("ledger", ledger.union(fresh.select("md5", "source")).distinct())
-        return self._read("stats", "source string, total long, inserted long, skipped long, deleted long, msg string")
+        parsed, stats = (f"{self.path}/{name}/{uuid.uuid4().hex}" for name in ("staged", "stats"))
+        self.parse(fresh).write.parquet(parsed)
+        new = self.spark.read.parquet(parsed)
+        counted = ingest.upload_stats(existing.select("source"), fresh.select("source", "md5"), new, ledger)
+        # a known file has the count of chunks that the ledger keeps of it
+        known = files.select("source", "md5").join(ledger.groupBy("md5").agg(F.max("total").alias("total")), "md5")
+        known = known.select("source", "total", F.lit(0).cast("long").alias("inserted"), F.col("total").alias("skipped"), F.lit(0).cast("long").alias("deleted"), F.lit(ingest.KNOWN).alias("msg"))
+        counted.unionByName(known).write.parquet(stats)
+        totals = self.spark.read.schema(STATS).parquet(stats).select("source", "total")
+        new = ingest.not_blank(new)
+        if describe is not None:
+            known = readers.docx_images(fresh)
+            known = ingest.image_names(known).join(known.select("source", "rid", "filename", "image"), ["source", "rid"])
+            new = ingest.describe_images(new, known.select("source", F.col("path"), describe(F.col("filename"), F.col("image")).alias("text")), ["source", "chunk_id"], same=["source"])
+        else:
+            new = new.withColumn("image_description", F.lit(""))
+        key = F.xxhash64("source", "chunk_id")
+        now = {"chunk": key, "text_key": text_key("page_content"), "image_count": F.size("images"), "operator": F.lit(operator), "create_time": F.current_timestamp()}
+        self._derive(new.withColumns(now), fresh.select("source").distinct())
+        entered = fresh.select("md5", "source").distinct().join(totals, "source").withColumn("ingested_at", F.current_timestamp())
+        entered.select("md5", "source", "total", "ingested_at").write.mode("append").parquet(f"{self.path}/ledger")
+        return self.spark.read.schema(STATS).parquet(stats)
+
+    def _derive(self, new: DataFrame, gone: DataFrame) -> None:
+        """Replaces the rows of the sources in gone in all tables."""
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        new.write.parquet(staged)
+        gone.write.parquet(f"{staged}-gone")
+        new, gone = self.spark.read.parquet(staged), self.spark.read.parquet(f"{staged}-gone")
+        words = new.select("source", F.col("chunk").alias("doc"), tokens(F.coalesce("page_content", F.lit(""))).alias("t")).withColumn("dl", F.size("t").cast("long"))
+        postings = words.select("source", "doc", "dl", F.explode("t").alias("term")).groupBy("source", "doc", "term", "dl").agg(F.count("*").alias("tf"))
+        found = terms.source_terms(new.select("source", F.col("page_content").alias("text")), script=self.script)
+        first = new.groupBy("source").agg(F.date_format(F.min("create_time"), "yyyy-MM-dd HH:mm:ss.SSS").alias("at"))
+        found = found.join(first, "source").withColumn("source_seq", F.concat_ws(" ", "at", "source"))
+        tables = {"postings": postings, "lengths": words, "vectors": new.select("source", "chunk", self.embed("page_content").alias("embedding")), "terms": found, "chunks": new}
+        for name, rows in tables.items():
+            self._replace(name, rows, gone)
 
     def delete(self, source: str) -> None:
-        self._write("chunks", self.chunks().where(F.col("source") != source))
+        """All rows of a source go; the ledger still knows its files."""
+        self._derive(self.chunks().where("false"), self.spark.createDataFrame([(source,)], "source string"))
 
     def sources(self) -> DataFrame:
         return ingest.sources(self.chunks())
 
-    def index(self) -> bm25.Index:
-        return bm25.build_index(self.chunks().withColumn("chunk", F.xxhash64("source", "chunk_id")), "chunk", "page_content")
-
-    def dictionary(self, script: str | None = None) -> DataFrame:
-        found = terms.source_terms(self.chunks().select("source", F.col("page_content").alias("text")), script=script)
-        return terms.all_terms(found.withColumn("source_seq", F.col("source")))
-
-    def search(self, queries: DataFrame, rewrite: bool = True, top_k: int = 3) -> DataFrame:
-        """The best chunks of a batch of queries (query_id, query)."""
-        rows = self.chunks().withColumn("chunk", F.xxhash64("source", "chunk_id"))
-        return retrieve(rows, queries, self.dictionary() if rewrite else None, top_k=top_k)
+    def index(self, queries: DataFrame | None = None) -> bm25.Index:
+        """The stored index; for queries (query_id, text) only what their terms need is read."""
+        postings = self._table("postings").drop("source")
+        if queries is not None:
+            postings = postings.join(bm25.terms_of(queries).select("term").distinct(), "term", "left_semi")
+        corpus = self._table("lengths").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+        return bm25.Index(postings, bm25.term_statistics(postings, corpus), corpus)
+
+    def dictionary(self) -> DataFrame:
+        """(term, dict_pos) of the stored terms of all sources, in order of their upload."""
+        return terms.all_terms(self._table("terms"))
+
+    def search(self, queries: DataFrame, rewrite: bool = True, top_k: int = 3, relevance: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+        """The best chunks of a batch of queries (query_id, query), from the stored index, vectors and terms."""
+        words = self.dictionary() if rewrite else None
+        return retrieve(self.chunks(), queries, words, self.embed, relevance, top_k=top_k, index=self.index(), stored=self._table("vectors"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from loomlake.functions import text as X
 from loomlake.operators import bm25, chunking, fusion, ingest, memory, prompts, terms, vectors
 from loomlake.plans.retrieve import retrieve
+from loomlake.plans.stores import Cache, Conversations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,9 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def store_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five benchmark items as queries."""
-    return table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    """All benchmark items as queries."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\x{4e00}-\x{9fff}]|[a-z0-9_]+')"
@@ -40,7 +54,7 @@ _TOK = f"toks AS (SELECT doc_id AS doc, unnest({_TOKENS}) AS term FROM documents
 _POST = f"{_TOK}, post AS (SELECT doc, term, count(*) AS tf FROM toks GROUP BY ALL)"
 _LEN = f"lens AS (SELECT doc_id AS doc, CAST(len({_TOKENS}) AS BIGINT) AS dl FROM documents)"
 _STATS = "corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens), tstat AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM corpus) - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM post GROUP BY term)"
-_ASK = f"ask AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark WHERE item_id < 5)"
+_ASK = f"ask AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark)"
 _SCORE = """scored AS (SELECT query_id, p.doc, round(sum(idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score
   FROM post p JOIN ask USING (term) JOIN tstat USING (term) JOIN lens USING (doc), corpus GROUP BY ALL)"""
 _BM25 = f"{_POST}, {_LEN}, {_STATS}, {_ASK}, {_SCORE}, bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM scored)"
@@ -48,7 +62,8 @@ _BM25 = f"{_POST}, {_LEN}, {_STATS}, {_ASK}, {_SCORE}, bm AS (SELECT *, row_numb
 
 @query(f"WITH {_BM25} SELECT query_id, doc, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 10 AND score > 0")
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.bm25_top(bm25.build_index(table(spark, sf_dir, "documents")), _asked(spark, sf_dir), 10)
+    docs, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
+    return bm25.bm25_top(bm25.index_for(docs, asked), asked, 10)
 
 
 @query(f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens, md5(array_to_string({_TOKENS}, ' ')) AS tokens_md5 FROM documents")
@@ -74,10 +89,10 @@ def doc_len_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return vectors.nearest(rows, rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), 10, metric)
+    return vectors.nearest(rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, metric)
 
 
-_PAIRS = "FROM (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 5), (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_PAIRS = "FROM (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0), (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _L2 = f"SELECT query_id, doc, round(list_sum(list_transform(list_zip(q, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS score {_PAIRS}"
 _COS = f"SELECT query_id, doc, round(list_cosine_similarity(q, v), 6) AS score {_PAIRS}"
 
@@ -114,18 +129,39 @@ def rrf_two_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rrf(_routes(spark, sf_dir), ["query_id"])
 
 
-@query(f"""WITH {_HYBRID}, variants AS (
+# the second variant of a query: its first three tokens, again in the lexical route
+_AGAIN = _SCORE.replace("JOIN ask USING", "JOIN ask2 USING").replace("scored AS", "scored2 AS")
+_SECOND = f"""ask2 AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}[1:3]) AS term FROM benchmark), {_AGAIN},
+second AS (SELECT query_id, md5(text) AS text_key, 1 AS route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM scored2 JOIN documents ON doc_id = doc WHERE score > 0 QUALIFY rank <= 10),
+summed2 AS (SELECT query_id, text_key, round(sum(1 / (60e0 + rank)), 9) AS score, min((route, rank)) AS seen FROM second GROUP BY ALL)"""
+
+
+@query(f"""WITH {_HYBRID}, {_SECOND}, variants AS (
   SELECT query_id, text_key, 0 AS route, rank FROM fused
-  UNION ALL SELECT query_id, text_key, 1, row_number() OVER (PARTITION BY query_id ORDER BY text_key) FROM fused),
+  UNION ALL SELECT query_id, text_key, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, text_key) FROM summed2),
 outer_sum AS (SELECT query_id, text_key, round(sum(1 / (60e0 + rank)), 9) AS score, min((route, rank)) AS seen FROM variants GROUP BY ALL)
 SELECT query_id, text_key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, text_key) AS INTEGER) AS rank FROM outer_sum""")
 def rrf_double(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inner = rrf_two_route(spark, sf_dir)
-    other = inner.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("text_key")))
-    both = inner.withColumn("route", F.lit(0)).unionByName(other.withColumn("route", F.lit(1)))
+    """Fusion of the routes of each variant of a query, and then of the variants."""
+    docs = table(spark, sf_dir, "documents")
+    asked = _asked(spark, sf_dir).select("query_id", F.array_join(F.slice(X.tokens("text"), 1, 3), " ").alias("text"))
+    keys = docs.select(F.col("doc_id").alias("doc"), X.text_key("text").alias("text_key"))
+    second = bm25.bm25_top(bm25.index_for(docs, asked), asked, 10).select("query_id", "doc", F.lit(1).alias("route"), "rank").join(keys, "doc")
+    both = rrf_two_route(spark, sf_dir).withColumn("route", F.lit(0)).unionByName(fusion.rrf(second, ["query_id"]).withColumn("route", F.lit(1)))
     return fusion.rrf(both.select("query_id", "text_key", "route", "rank"), ["query_id"])
 
 
+@query(f"""WITH {_HYBRID}, c AS (SELECT f.query_id, f.text_key, any_value(f.rank) AS rank, any_value(d.text) AS text FROM fused f JOIN documents d ON md5(d.text) = f.text_key WHERE f.rank <= 10 GROUP BY ALL),
+s AS (SELECT c.*, len(list_intersect(list_distinct({_TOKENS.replace("text", "b.text")}), {_TOKENS.replace("text", "c.text")})) / greatest(len(list_distinct({_TOKENS.replace("text", "b.text")})), 1) AS relevance FROM c JOIN benchmark b ON item_id = query_id)
+SELECT query_id, text_key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""".replace("QUALIFY rank <= 3", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, s.rank) <= 3"))
+def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rerank stage with a model: the ten best by fusion, ordered by the share of the query's tokens that they hold."""
+    docs = table(spark, sf_dir, "documents").select(X.text_key("text").alias("text_key"), "text").dropDuplicates(["text_key"])
+    asked = _asked(spark, sf_dir).withColumnRenamed("text", "query")
+    rows = rrf_two_route(spark, sf_dir).where("rank <= 10").join(docs, "text_key").join(asked, "query_id")
+    return fusion.rerank(rows, ["query_id"], relevance=fusion.overlap_score(F.col("query"), F.col("text"))).select("query_id", "text_key", "rank")
+
+
 @query(f"WITH {_HYBRID} SELECT query_id, text_key, score, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank <= 3")
 def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rerank(rrf_two_route(spark, sf_dir), ["query_id"])
@@ -237,15 +273,16 @@ def docx_block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.block_chunks(_blocks(spark, sf_dir)).withColumn("content_md5", F.md5("page_content")).drop("page_content")
 
 
-@query(rf"""WITH b AS ({_BLOCKS}), l AS (SELECT source, block_no, trim(text) AS text, CASE WHEN text LIKE '第一章%' THEN 1 WHEN regexp_matches(text, '^[0-9]+\.[0-9]+') THEN 2 ELSE 9 END AS lv FROM b WHERE kind = 'p'),
-c AS (SELECT *, coalesce(last_value(CASE WHEN lv = 1 THEN text END IGNORE NULLS) OVER w, '第1页') AS chapter, sum(CASE WHEN lv IN (1, 2) THEN 1 ELSE 0 END) OVER w AS part FROM l WINDOW w AS (PARTITION BY source ORDER BY block_no)),
-g AS (SELECT source, part, arg_min(text, block_no) AS heading, CAST(arg_min(lv, block_no) AS INTEGER) AS heading_level, arg_min(chapter, block_no) AS chapter,
-  regexp_replace(string_agg(CASE WHEN lv IN (1, 2) THEN '' ELSE text || chr(10) END, '' ORDER BY block_no), '^\s+|\s+$', '', 'g') AS t FROM c GROUP BY source, part)
-SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY part) AS INTEGER) AS chunk_id, heading, heading_level, chapter, md5(t) AS content_md5 FROM g WHERE t <> ''""")
+@query(rf"""WITH b AS ({_BLOCKS}), l AS (SELECT source, block_no // 1000000 AS page_no, block_no, trim(text) AS text, CASE WHEN text LIKE '第一章%' THEN 1 WHEN regexp_matches(text, '^[0-9]+\.[0-9]+') THEN 2 ELSE 9 END AS lv FROM b WHERE kind = 'p'),
+c AS (SELECT *, coalesce(last_value(CASE WHEN lv = 1 THEN text END IGNORE NULLS) OVER w, '第' || CAST(page_no AS VARCHAR) || '页') AS chapter, sum(CASE WHEN lv IN (1, 2) THEN 1 ELSE 0 END) OVER w AS part FROM l WINDOW w AS (PARTITION BY source, page_no ORDER BY block_no)),
+g AS (SELECT source, page_no, part, arg_min(text, block_no) AS heading, CAST(arg_min(lv, block_no) AS INTEGER) AS heading_level, arg_min(chapter, block_no) AS chapter,
+  regexp_replace(string_agg(CASE WHEN lv IN (1, 2) THEN '' ELSE text || chr(10) END, '' ORDER BY block_no), '^\s+|\s+$', '', 'g') AS t FROM c GROUP BY source, page_no, part)
+SELECT source, CAST(page_no AS INTEGER) AS page_no, CAST(row_number() OVER (PARTITION BY source ORDER BY page_no, part) AS INTEGER) AS chunk_id, heading, heading_level, chapter, md5(t) AS content_md5 FROM g WHERE t <> ''""")
 def pdf_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _blocks(spark, sf_dir).where("kind = 'p'").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("x"))
-    pages = rows.select("source", F.lit(1).alias("page_no"), F.array_join(F.transform("x", lambda x: x.text), "\n").alias("text"))
-    return chunking.page_line_chunks(pages).withColumn("content_md5", F.md5("page_content")).drop("page_content", "page_no")
+    """The blocks of a nation are one page."""
+    page = F.floor(F.col("block_no") / 1_000_000).cast("int")
+    rows = _blocks(spark, sf_dir).where("kind = 'p'").select("source", page.alias("page_no"), F.col("block_no").alias("line_no"), F.col("text").alias("raw"))
+    return chunking.line_chunks(rows).withColumn("content_md5", F.md5("page_content")).drop("page_content")
 
 
 # Lines and their levels by either rule.
@@ -255,10 +292,22 @@ _HEADINGS = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', CAST({'NULL' if a is None else a} AS INTEGER), CAST({'NULL' if b is None else b} AS INTEGER))" for s, a, b in _HEADINGS) + ") t(line, docx, pdf)")
+_LINES = "lines AS (SELECT n_nationkey, h.nth, h.line || CASE WHEN n_nationkey % 2 = 1 THEN ' ' || n_name ELSE '' END || CASE WHEN n_nationkey % 5 = 0 THEN repeat('x', 100) ELSE '' END AS line FROM nation, (VALUES " + ", ".join(f"({i}, '{s}')" for i, (s, *_) in enumerate(_HEADINGS)) + ") h(nth, line))"
+_DOTS = "len(string_split(line, '.'))"
+
+
+@query(rf"""WITH {_LINES} SELECT n_nationkey, nth, CAST(CASE WHEN regexp_matches(line, '^第[一二三四五六七八九十]+章') THEN 1
+  WHEN regexp_matches(line, '^[0-9]+\.[0-9]+') THEN CASE {_DOTS} WHEN 2 THEN 2 WHEN 3 THEN 3 END WHEN regexp_matches(line, '^[0-9]+\s*[、．]') THEN 2
+  WHEN regexp_matches(line, '^\([一二三四五六七八九十0-9]+\)') THEN 3 WHEN regexp_matches(line, '^[（(][0-9]+[）)]') THEN 4 END AS INTEGER) AS docx,
+CAST(CASE WHEN length(line) > 100 THEN NULL WHEN regexp_matches(line, '^第[一二三四五六七八九十]+[章节]') THEN 1 WHEN regexp_matches(line, '^[0-9]+\.[0-9]+') THEN CASE {_DOTS} WHEN 2 THEN 2 ELSE 3 END
+  WHEN regexp_matches(line, '^[0-9]+\s*[、．.]\s*\S') THEN 2 WHEN regexp_matches(line, '^\([一二三四五六七八九十0-9]+\)') THEN 3 END AS INTEGER) AS pdf FROM lines""")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([(s,) for s, _, _ in _HEADINGS], "line string")
-    return lines.select("line", X.heading_level_docx("line").alias("docx"), X.heading_level_pdf("line").alias("pdf"))
+    """Lines of all kinds, bare, with a name after them, and too long ones."""
+    kinds = spark.createDataFrame([(i, s) for i, (s, *_) in enumerate(_HEADINGS)], "nth int, kind string")
+    name = F.when(F.col("n_nationkey") % 2 == 1, F.concat(F.lit(" "), "n_name")).otherwise("")
+    line = F.concat("kind", name, F.when(F.col("n_nationkey") % 5 == 0, F.repeat(F.lit("x"), F.lit(100))).otherwise(""))
+    lines = table(spark, sf_dir, "nation").crossJoin(kinds).withColumn("line", line)  # 16 rows for each of 25
+    return lines.select("n_nationkey", "nth", X.heading_level_docx("line").alias("docx"), X.heading_level_pdf("line").alias("pdf"))
 
 
 @query("""WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS nth, '| ' || CAST(p_partkey AS VARCHAR) || ' | ' || p_name || ' | ' || p_brand || ' |' AS line FROM part), t AS (SELECT count(*) AS n FROM r)
@@ -313,11 +362,61 @@ def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.sources(table(spark, sf_dir, "documents"))
 
 
-@query("""WITH i AS (SELECT page_id, unnest([0, 1, 2]) AS j FROM pages) SELECT page_id, coalesce(string_agg(CASE WHEN j <> 1 THEN '图片 ' || CAST(j + 1 AS VARCHAR) || '：image ' || CAST(j AS VARCHAR) END, chr(10) ORDER BY j), '') AS image_description FROM i GROUP BY page_id""")
+# page n has images n, n + 1, n again and 2n; every third image has no text
+_IMAGES = "raw AS (SELECT page_id, unnest([0, 1, 2, 3]) AS j, unnest([page_id, page_id + 1, page_id, 2 * page_id]) AS k FROM pages), firsts AS (SELECT page_id, k, min(j) AS j FROM raw GROUP BY ALL), i AS (SELECT page_id, k, row_number() OVER (PARTITION BY page_id ORDER BY j) AS nth FROM firsts)"
+
+
+@query(f"""WITH {_IMAGES} SELECT page_id, coalesce(string_agg(CASE WHEN k % 3 <> 0 THEN '图片 ' || CAST(nth AS VARCHAR) || '：image ' || CAST(k AS VARCHAR) END, chr(10) ORDER BY nth), '') AS image_description FROM i GROUP BY page_id""")
 def image_desc_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", F.array(*[F.lit(f"p{j}.png") for j in range(3)]).alias("images"))
-    known = spark.createDataFrame([("p0.png", "image 0"), ("p2.png", "image 2")], "path string, text string")
-    return ingest.describe_images(pages, known, ["page_id"]).select("page_id", "image_description")
+    pages = table(spark, sf_dir, "pages")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"), F.lit(".png"))
+    rows = pages.select("page_id", F.array(*[name(c) for c in (F.col("page_id"), F.col("page_id") + 1, F.col("page_id"), F.col("page_id") * 2)]).alias("images"))
+    every = rows.select(F.explode("images").alias("path")).distinct().withColumn("k", F.regexp_extract("path", "([0-9]+)", 1).cast("long"))
+    known = every.where("k % 3 <> 0").select("path", F.concat(F.lit("image "), F.col("k").cast("string")).alias("text"))
+    return ingest.describe_images(rows, known, ["page_id"]).select("page_id", "image_description")
+
+
+@query("""WITH b AS (SELECT n_regionkey AS r, n_nationkey AS block_no, unnest([0, 1]) AS j, unnest([n_nationkey % 3, n_nationkey % 4]) AS rid FROM nation),
+named AS (SELECT r, rid, 'image_' || lpad(CAST(row_number() OVER (PARTITION BY r ORDER BY rid) AS VARCHAR), 4, '0') || CASE rid WHEN 0 THEN '.jpg' WHEN 1 THEN '.gif' ELSE '.png' END AS path FROM (SELECT DISTINCT r, rid FROM b WHERE rid < 3)),
+f AS (SELECT b.r, b.block_no // 5 AS c, path, min((block_no, j)) AS place FROM b JOIN named n ON n.r = b.r AND n.rid = b.rid GROUP BY ALL)
+SELECT CAST(r AS VARCHAR) AS source, CAST(c AS INTEGER) AS chunk_id, string_agg(path, ',' ORDER BY place) AS images FROM f GROUP BY ALL""")
+def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationship ids of paragraphs joined with the images of their document: ids without one go, the first place counts."""
+    n = table(spark, sf_dir, "nation").withColumn("source", F.col("n_regionkey").cast("string"))
+    ids = F.array(*[(F.col("n_nationkey") % m).cast("string") for m in (3, 4)])
+    places = n.select("source", F.floor(F.col("n_nationkey") / 5).cast("int").alias("chunk_id"), F.col("n_nationkey").alias("block_no"), ids.alias("images"))
+    kept = places.select("source", F.explode("images").alias("rid")).distinct().where("rid <> '3'")
+    file = F.when(F.col("rid") == "0", "a.JPG").when(F.col("rid") == "1", "b.gif").otherwise("c.emf")
+    names = ingest.image_names(kept.select("source", "rid", F.col("rid").cast("int").alias("nth"), file.alias("filename")))
+    return ingest.chunk_images(places, names).withColumn("images", F.array_join("images", ","))
+
+
+@query("""SELECT page_id, 'data:image/' || CASE page_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'webp' ELSE 'png' END || ';base64,' || to_base64(encode(url)) AS url FROM pages""")
+def image_data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.lit(x) for x in ("a.png", "b.jpg", "c.JPEG", "d.webp", "e.emf")])
+    rows = table(spark, sf_dir, "pages").select("page_id", F.element_at(kinds, (F.col("page_id") % 5 + 1).cast("int")).alias("path"), F.col("url").cast("binary").alias("content"))
+    return rows.select("page_id", X.data_url("path", "content").alias("url"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN NULL ELSE p_name END IS NULL AS was_null, CASE WHEN p_partkey % 4 < 2 THEN '' ELSE p_name END AS joined, CAST(CASE WHEN p_partkey % 4 < 2 THEN 0 ELSE 1 END AS INTEGER) AS n FROM part""")
+def list_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.when(F.col("p_partkey") % 4 == 0, F.lit("")).when(F.col("p_partkey") % 4 != 1, F.col("p_name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", c.alias("c")).withColumn("l", ingest.as_list("c"))
+    return rows.select("p_partkey", F.col("c").isNull().alias("was_null"), F.array_join("l", ",").alias("joined"), F.size("l").alias("n"))
+
+
+@query(r"""WITH t AS (SELECT o_custkey % 50 AS page, o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderstatus END AS a, replace(o_orderpriority, '-', chr(10)) AS b FROM orders),
+f AS (SELECT page, min(o_orderkey) AS head FROM t GROUP BY page), g AS (SELECT t.page, o_orderkey, '| ' || trim(a) || ' | ' || trim(replace(b, chr(10), ' ')) || ' |' AS line FROM t JOIN f ON f.page = t.page WHERE head % 7 <> 0 OR head IS NULL)
+SELECT CAST(g.page AS INTEGER) AS page_no, md5(arg_min(line, o_orderkey) || chr(10) || '| --- | --- |' || coalesce(chr(10) || string_agg(CASE WHEN o_orderkey <> head THEN line END, chr(10) ORDER BY o_orderkey), '')) AS content_md5,
+  CAST(count(*) - 1 AS INTEGER) AS table_rows, CAST(floor(3 * (count(*) + 1) / 2) - 1 AS INTEGER) AS table_cols FROM g JOIN f ON f.page = g.page GROUP BY g.page""")
+def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of pages as Markdown; those whose first row begins with a blank cell and has none besides go."""
+    first = F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(F.col("o_orderstatus"))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).cast("int").alias("page_no"), "o_orderkey", F.array(first, F.replace("o_orderpriority", F.lit("-"), F.lit("\n"))).alias("cells"))
+    tables = rows.groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "cells"))).alias("x"))
+    tables = tables.select(F.lit("o.pdf").alias("source"), "page_no", F.lit(0).alias("table_no"), F.transform("x", lambda x: x.cells).alias("cells"))
+    tables = tables.where(F.col("cells")[0][0] != "")
+    return chunking.page_table_chunks(tables).select("page_no", F.md5("page_content").alias("content_md5"), "table_rows", "table_cols")
 
 
 _TERMS = f"""terms AS (SELECT source, term, count(*) AS n, CAST(row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, term) AS INTEGER) AS term_rank
@@ -347,10 +446,33 @@ def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.rewrite(asked, all_terms(spark, sf_dir)).select("query_id", F.md5("rewritten").alias("rewritten_md5"))
 
 
-@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(" + _TOKENS + ") AS t FROM documents) WHERE length(t) BETWEEN 2 AND 6 GROUP BY doc_id")
+# terms, stopwords, and words that are too short, too long or not Chinese
+_WORDS = ("学习成绩", "一个", "成绩", "成", "课程成绩表现很好", "gpa", "abc学", "以及", "重要", "课程", "为什么", "六个字的词语")
+_WORD_OF = "(ARRAY[" + ", ".join(f"'{w}'" for w in _WORDS) + f"])[doc_id % {len(_WORDS)} + 1]"
+_STOPWORDS = ", ".join(f"'{w}'" for w in sorted(set(terms.TERM_STOPWORDS)))
+
+
+@query(rf"SELECT doc_id, t FROM (SELECT doc_id, {_WORD_OF} AS t FROM documents UNION ALL SELECT doc_id, unnest({_TOKENS}) FROM documents) WHERE length(t) BETWEEN 2 AND 6 AND regexp_matches(t, '^[\x{{4e00}}-\x{{9fff}}]+$') AND t NOT IN ({_STOPWORDS})")
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens("text")).alias("t"))
-    return rows.where(terms.is_term("t", None)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    word = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.col("doc_id") % len(_WORDS) + 1).cast("int"))
+    rows = docs.select("doc_id", word.alias("t")).union(docs.select("doc_id", F.explode(X.tokens("text"))))
+    return rows.where(terms.is_term("t"))
+
+
+_CJK = "('课程成绩', 1), ('学习成绩', 2), ('成绩', 3), ('老师成绩单', 4), ('实习成绩', 5), ('学分gpa绩点', 6)"
+_ASKED_CJK = "SELECT doc_id AS query_id, CASE doc_id % 4 WHEN 0 THEN '他的学习成绩怎么样？gpa' WHEN 1 THEN 'gpa 学分' WHEN 2 THEN '成绩' ELSE 'gp_a 的' END AS query FROM documents"
+
+
+@query(rf"""WITH dict(term, pos) AS (VALUES {_CJK}), q AS ({_ASKED_CJK}), w AS (SELECT query_id, query, unnest(range(0, len(t))) AS qpos, unnest(t) AS token FROM (SELECT *, regexp_extract_all(lower(query), '[\x{{4e00}}-\x{{9fff}}]|[a-z0-9_]+') AS t FROM q)),
+h AS (SELECT query_id, qpos, term, row_number() OVER (PARTITION BY query_id, qpos ORDER BY pos) AS nth FROM w JOIN dict ON contains(term, token) AND NOT contains(query, term) WHERE length(token) >= 2 AND token NOT IN (SELECT term FROM dict) QUALIFY nth <= 3),
+m AS (SELECT query_id, string_agg(term, ' ' ORDER BY place, term) AS more FROM (SELECT query_id, term, min((qpos, nth)) AS place FROM h GROUP BY ALL) GROUP BY query_id)
+SELECT q.query_id, concat_ws(' ', query, more) AS rewritten FROM q LEFT JOIN m ON m.query_id = q.query_id""")
+def query_rewrite_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chinese terms: single characters are not expanded, nor is a term appended that the query holds."""
+    words = spark.sql(f"SELECT * FROM VALUES {_CJK} AS t(term, dict_pos)")
+    asked = F.when(F.col("doc_id") % 4 == 0, "他的学习成绩怎么样？gpa").when(F.col("doc_id") % 4 == 1, "gpa 学分").when(F.col("doc_id") % 4 == 2, "成绩").otherwise("gp_a 的")
+    return terms.rewrite(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), asked.alias("query")), words).select("query_id", "rewritten")
 
 
 _TURNS = "turns AS (SELECT conv_id, turn, text AS query, answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant')"
@@ -375,10 +497,10 @@ def history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     sid = F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string"), F.lit(":"), F.col("user_id").cast("string"))
-    return table(spark, sf_dir, "events").select(sid.alias("session_id"), F.col("event_id").cast("string").alias("field"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "event_id", "event_type")
+    return table(spark, sf_dir, "events").select(sid.alias("session_id"), F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(F.col("event_id").cast("string")).alias("field"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "event_id", "event_type")
 
 
-_LOG = "log AS (SELECT 'c' || CAST(user_id % 3 AS VARCHAR) || ':' || CAST(user_id AS VARCHAR) AS session_id, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM events)"
+_LOG = "log AS (SELECT 'c' || CAST(user_id % 3 AS VARCHAR) || ':' || CAST(user_id AS VARCHAR) AS session_id, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM events WHERE event_id % 10 <> 0)"
 
 
 @query(f"WITH {_LOG} SELECT session_id, count(*) AS turns, max(timestamp) AS last_active FROM log WHERE session_id LIKE 'c1:%' GROUP BY 1")
@@ -386,6 +508,12 @@ def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.session_list(_log(spark, sf_dir), "c1")
 
 
+@query(f"WITH {_LOG} SELECT session_id, count(*) AS turns, max(timestamp) AS last_active FROM log GROUP BY 1 ORDER BY last_active DESC, session_id LIMIT 8")
+def session_list_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page of sessions shows: the eight that were active last."""
+    return memory.session_list(_log(spark, sf_dir), limit=8)
+
+
 @query(f"WITH {_LOG} SELECT session_id, count(*) AS turns, max(timestamp) AS last_active FROM log GROUP BY 1")
 def session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
@@ -440,12 +568,42 @@ def cache_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.cache_invalidate(cache_latest_valid(spark, sf_dir)).select("key", "payload")
 
 
-@query("SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT conv_id FROM conversations)")
+@query("SELECT o_orderkey AS query_id FROM orders LEFT JOIN (SELECT DISTINCT conv_id FROM conversations) ON conv_id = o_orderkey WHERE conv_id IS NULL OR conv_id % 3 = 0")
 def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries without a history, which alone may use the answer cache."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    known = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("text").alias("history"))
-    return asked.join(known, "query_id", "left").where(F.trim(F.coalesce("history", F.lit(""))) == "").select("query_id")
+    """Queries without a history, or with a blank one, which alone may use the answer cache."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("q"), "text")).alias("query"))
+    known = turns.groupBy("conv_id").agg(F.array_join(F.collect_list("query"), "\n").alias("history")).withColumnRenamed("conv_id", "query_id")
+    return memory.without_history(asked.join(known, "query_id", "left")).select("query_id")
+
+
+@query(f"WITH {_TURNS}, {_LAST} SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + (SELECT count(*) FROM turns t WHERE t.conv_id = l.conv_id) - count(*) OVER (PARTITION BY conv_id) AS turn, md5(query) AS query_md5 FROM last5 l")
+def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns saved in two parts, numbered on within their sessions, of which each session's last five are read."""
+    rows = pair_turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("session_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("timestamp"), "query", "answer", F.lit("").alias("context"))
+    store = Conversations(spark, store_path(spark, "turns"))
+    for part in ("timestamp < '000003'", "timestamp >= '000003'"):
+        store.save(rows.where(part))
+    return store.recent().select("session_id", F.col("turn").cast("long").alias("turn"), F.md5("query").alias("query_md5"))
+
+
+@query(f"WITH {_TURNS} SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n FROM turns WHERE conv_id % 4 <> 0 GROUP BY conv_id")
+def stored_sessions_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pair_turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("timestamp"), "query", "answer", F.lit("").alias("context"))
+    store = Conversations(spark, store_path(spark, "turns"))
+    store.save(rows)
+    store.clear_sessions(rows.where("CAST(session_id AS BIGINT) % 4 = 0").select("session_id"))
+    return store.load().groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT CASE event_type WHEN 'click' THEN 'retrieval:' WHEN 'view' THEN 'answer:' ELSE 'other:' END || CAST(user_id AS VARCHAR) AS key, ts, props || CAST(event_id AS VARCHAR) AS payload FROM events)
+SELECT key, arg_max(payload, (ts, payload)) AS payload FROM c WHERE NOT starts_with(key, 'answer:') GROUP BY key HAVING max(ts) + INTERVAL 86400 SECOND > TIMESTAMP '2024-01-30 12:00:00'""")
+def stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache that was filled, of which one kind was made invalid, and which is asked for all keys."""
+    rows, cache = _cache(spark, sf_dir), Cache(spark, store_path(spark, "cache"))
+    cache.put(rows, 86400)
+    cache.invalidate(("answer:",))
+    return cache.get(rows, F.lit("2024-01-30 12:00:00").cast("timestamp"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -472,7 +630,33 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("event_id", F.get_json_object("s", "$.k").cast("int").alias("k"))
 
 
-@query()
+_VARIANTS = f"""{_TERMS}, {_ALL}, q AS (SELECT item_id AS query_id, text, {_TOKENS} AS t FROM benchmark),
+w AS (SELECT query_id, text, unnest(range(0, len(t))) AS qpos, unnest(t) AS token FROM q),
+h AS (SELECT query_id, qpos, term, row_number() OVER (PARTITION BY query_id, qpos ORDER BY dict_pos) AS nth FROM w JOIN dict ON contains(term, token) AND NOT contains(text, term)
+  WHERE length(token) >= 2 AND token NOT IN (SELECT term FROM dict) QUALIFY nth <= 3),
+m AS (SELECT query_id, string_agg(term, ' ' ORDER BY place, term) AS more FROM (SELECT query_id, term, min((qpos, nth)) AS place FROM h GROUP BY ALL) GROUP BY query_id),
+vars AS (SELECT 2 * query_id AS vid, text FROM q UNION ALL SELECT 2 * q.query_id + 1, concat_ws(' ', text, more) FROM q JOIN m ON m.query_id = q.query_id)"""
+_EMBED = "SELECT id, dim, c / greatest(1, sqrt(sum(c * c) OVER (PARTITION BY id))) AS x FROM (SELECT id, ascii(unhex(left(md5(term), 2))) AS dim, CAST(count(*) AS DOUBLE) AS c FROM ({}) GROUP BY ALL)"
+_EMBED = _EMBED.replace("ascii(unhex(left(md5(term), 2)))", "CAST('0x' || left(md5(term), 2) AS INTEGER)")
+_ASK_V = f"vt AS (SELECT vid AS query_id, unnest({_TOKENS}) AS term FROM vars), ask AS (SELECT DISTINCT query_id, term FROM vt)"
+
+
+@query(f"""WITH {_VARIANTS}, {_POST}, {_LEN}, {_STATS}, {_ASK_V}, {_SCORE}, bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM scored WHERE score > 0),
+dv AS ({_EMBED.format("SELECT doc AS id, term FROM toks")}), qv AS ({_EMBED.format("SELECT query_id AS id, term FROM vt")}),
+dots AS (SELECT q.id AS query_id, d.id AS doc, sum(q.x * d.x) AS dot FROM qv q JOIN dv d ON q.dim = d.dim GROUP BY ALL),
+dn AS (SELECT doc_id AS id, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT id, sum(x * x) AS n FROM dv GROUP BY id) ON id = doc_id), qn AS (SELECT vid AS id, coalesce(n, 0) AS n FROM vars LEFT JOIN (SELECT id, sum(x * x) AS n FROM qv GROUP BY id) ON id = vid),
+l2 AS (SELECT qn.id AS query_id, dn.id AS doc, round(greatest(qn.n + dn.n - 2 * coalesce(dot, 0), 0), 6) AS score FROM qn CROSS JOIN dn LEFT JOIN dots ON dots.query_id = qn.id AND dots.doc = dn.id),
+routes AS (SELECT query_id, doc, 0 AS route, row_number() OVER (PARTITION BY query_id ORDER BY score, doc) AS rank FROM l2 QUALIFY rank <= 10 UNION ALL SELECT query_id, doc, 1, rank FROM bm WHERE rank <= 10),
+keyed AS (SELECT query_id, md5(text) AS text_key, route, rank FROM routes JOIN documents ON doc_id = doc),
+inner_sum AS (SELECT query_id, text_key, round(sum(1 / (60e0 + rank)), 9) AS score, min((route, rank)) AS seen FROM keyed GROUP BY ALL),
+inner_rank AS (SELECT query_id, text_key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, text_key) AS rank FROM inner_sum),
+outer_sum AS (SELECT query_id // 2 AS query_id, text_key, round(sum(1 / (60e0 + rank)), 9) AS score, min((query_id % 2, rank)) AS seen FROM inner_rank GROUP BY ALL),
+best AS (SELECT query_id, text_key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, text_key) AS rank FROM outer_sum QUALIFY rank <= 3),
+firsts AS (SELECT md5(text) AS text_key, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+found AS (SELECT query_id, rank, source, text FROM best JOIN firsts USING (text_key) JOIN documents USING (doc_id)),
+built AS (SELECT query_id, count(*) AS n, string_agg('【参考资料 ' || CAST(rank AS VARCHAR) || '】' || chr(10) || '标题：' || source || chr(10) || '内容：' || text || chr(10), chr(10) ORDER BY rank) AS context, arg_min(text, rank) AS top FROM found GROUP BY query_id)
+SELECT query_id, CAST(n AS INTEGER) AS n_docs, md5('{_SYSTEM}' || chr(10) || chr(10) || '参考资料：' || chr(10) || context || chr(10) || chr(10) || '用户问题：' || text) AS prompt_md5, regexp_extract(top, '(?s)^(.*?[.。!！?？\n]|.*$)', 1) AS answer
+FROM built JOIN benchmark ON item_id = query_id""")
 def qa_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items as questions through rewriting, two routes, fusion, rerank, context and a stand-in answer."""
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), "source", F.col("text").alias("page_content"), F.col("source").alias("heading"), F.lit("").alias("chapter"))

@@ -16,20 +16,25 @@ DIMS = 256
 
 
 def hashed_embedding(text: str | Column) -> Column:
-    """A stand-in for an embedding model: hashed token counts of length 1."""
+    """A stand-in for an embedding model: token counts by the first byte of the token's md5, of length 1."""
+    import hashlib
     import re
-    import zlib
 
     token = re.compile(r"[一-鿿]|[a-z0-9_]+")
 
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places: dict[str, int] = {}
         for texts in batches:
             out = []
             for t in texts.to_pylist():
-                v = np.zeros(DIMS)
-                for w in token.findall((t or "").lower()):
-                    v[zlib.crc32(w.encode()) % DIMS] += 1
-                out.append((v / max(1.0, float(np.linalg.norm(v)))).tolist())
+                words = token.findall((t or "").lower())
+                if len(places) > 1 << 18:
+                    places.clear()
+                for w in words:
+                    if w not in places:
+                        places[w] = hashlib.md5(w.encode()).digest()[0]
+                v = np.bincount([places[w] for w in words], minlength=DIMS).astype(np.float64)
+                out.append(v / max(1.0, float(np.linalg.norm(v))))
             yield pa.array(out, pa.list_(pa.float64()))
 
     return F.arrow_udf(embed, "array<double>")(F.col(text) if isinstance(text, str) else text)
@@ -40,15 +45,20 @@ def retrieve(
     queries: DataFrame,
     dictionary: DataFrame | None = None,
     embed: Callable[[str], Column] | None = hashed_embedding,
-    relevance: Column | None = None,
+    relevance: Callable[[Column, Column], Column] | None = None,
     top_n: int = 10,
     top_k: int = 3,
+    index: bm25.Index | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, rank, chunk columns): the top_k chunks of each query.
 
     chunks: (chunk long, page_content, ...); queries: (query_id, query). With a dictionary each query is also searched in
     its rewritten form; without `embed` the lexical route alone is used. Chunks of equal text count as one, and the first
     stands for all. `relevance` scores (query, page_content) for the rerank; without it the fused order stays.
+
+    index and stored vectors (chunk, embedding) spare building them; with both, and a column text_key in chunks, the texts
+    of hits alone are read.
     """
     variants = queries.select("query_id", F.lit(0).alias("variant"), F.col("query").alias("text"))
     if dictionary is not None:
@@ -56,18 +66,21 @@ def retrieve(
         variants = variants.union(again.select("query_id", F.lit(1), "rewritten"))
     ids = F.col("query_id") * 2 + F.col("variant")
     asked = variants.select(ids.alias("query_id"), "text")
-    hits = bm25.bm25_top(bm25.build_index(chunks, "chunk", "page_content"), asked, top_n).select("query_id", "doc", F.lit(1).alias("route"), "rank")
+    lexical = index or bm25.index_for(chunks, asked, "chunk", "page_content")
+    hits = bm25.bm25_top(lexical, asked, top_n).select("query_id", "doc", F.lit(1).alias("route"), "rank")
     if embed is not None:
-        stored = chunks.select("chunk", embed("page_content").alias("embedding"))
+        if stored is None:
+            stored = chunks.select("chunk", embed("page_content").alias("embedding"))
         near = vectors.nearest(stored, asked.select("query_id", embed("text").alias("embedding")), top_n, id_col="chunk")
         hits = near.select("query_id", "doc", F.lit(0).alias("route"), "rank").union(hits)
-    keyed = chunks.withColumn("text_key", text_key("page_content"))
+    keyed = chunks if "text_key" in chunks.columns else chunks.withColumn("text_key", text_key("page_content"))
     hits = hits.join(keyed.select(F.col("chunk").alias("doc"), "text_key"), "doc")
     inner = fusion.rrf(hits, ["query_id"])
     outer = inner.select(F.floor(F.col("query_id") / 2).alias("query_id"), "text_key", (F.col("query_id") % 2).cast("int").alias("route"), "rank")
     fused = fusion.rrf(outer, ["query_id"]).where(F.col("rank") <= top_n)
-    first = keyed.join(fused.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("chunk").alias("chunk"))
-    found = fused.join(first, "text_key").join(chunks, "chunk")
-    if relevance is not None:
-        found = found.join(queries.select("query_id", "query"), "query_id")
-    return fusion.rerank(found, ["query_id"], top_n, top_k, relevance).drop("text_key", "query")
+    first = keyed.select("chunk", "text_key").join(fused.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("chunk").alias("chunk"))
+    found = fused.join(first, "text_key").join(chunks.drop("text_key"), "chunk")
+    if relevance is None:
+        return fusion.rerank(found, ["query_id"], top_n, top_k).drop("text_key")
+    found = found.join(queries.select("query_id", "query"), "query_id")
+    return fusion.rerank(found, ["query_id"], top_n, top_k, relevance(F.col("query"), F.col("page_content"))).drop("text_key", "query")

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from loomlake.functions.text import markdown_row, padded
 
+# Extensions of files that are read.
 EXTENSIONS = (".docx", ".md", ".pdf", ".txt", ".xls", ".xlsx")
-#: Encodings of text files in order of trial; the last takes any bytes.
+# Encodings of text files in order of trial; the last takes any bytes.
 ENCODINGS = ("utf-8-sig", "gbk", "latin-1")
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -65,7 +66,7 @@ def texts(files: DataFrame) -> DataFrame:
 def word_blocks(content: bytes) -> Iterator[tuple[str, str, list[str], list[list[str]]]]:
     """(kind, text, image ids, cells) of the paragraphs and tables of a Word file's body, in order.
 
-    A cell that spans columns stands once in its row, and one that goes on from the row above is empty.
+    A cell that spans columns stands once in its row; one that goes on from the row above has that row's text again.
     """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
@@ -75,8 +76,26 @@ def word_blocks(content: bytes) -> Iterator[tuple[str, str, list[str], list[list
             images = [v for x in node.iter() if x.tag.endswith("}blip") and (v := x.get(f"{_R}embed"))]
             yield "p", text(node), images, []
         elif node.tag == f"{_W}tbl":
-            cells = [["\n".join(text(p) for p in c.findall(f"{_W}p")).strip().replace("\n", " ").replace("\r", "") for c in row.findall(f"{_W}tc")] for row in node.findall(f"{_W}tr")]
-            yield "tbl", "", [], cells
+            yield "tbl", "", [], _table_cells(node, text)
+
+
+def _table_cells(table: ElementTree.Element, text) -> list[list[str]]:
+    above: dict[int, str] = {}  # column of the grid -> text of the cell that may go on below
+    rows = []
+    for row in table.findall(f"{_W}tr"):
+        cells, at = [], 0
+        for c in row.findall(f"{_W}tc"):
+            props = c.find(f"{_W}tcPr")
+            span = props.find(f"{_W}gridSpan") if props is not None else None
+            merge = props.find(f"{_W}vMerge") if props is not None else None
+            own = "\n".join(text(p) for p in c.findall(f"{_W}p")).strip().replace("\n", " ").replace("\r", "")
+            if merge is not None and merge.get(f"{_W}val", "continue") == "continue":
+                own = above.get(at, own)
+            above[at] = own
+            cells.append(own)
+            at += int(span.get(f"{_W}val", 1)) if span is not None else 1
+        rows.append(cells)
+    return rows
 
 
 def word_images(content: bytes) -> Iterator[tuple[str, str, bytes]]:
@@ -178,7 +197,11 @@ def xlsx_rows(files: DataFrame) -> DataFrame:
 
 
 def pdf_pages(files: DataFrame) -> DataFrame:
-    """(source, page_no, text) of PDF files, by PyMuPDF if it is installed."""
+    """(source, page_no, text, images, tables) of PDF files, by PyMuPDF if it is installed.
+
+    images are the names of the page's images, tables the cells of its tables; a page whose images or tables can't be read
+    has none.
+    """
     try:
         import fitz
     except ImportError as e:
@@ -186,8 +209,18 @@ def pdf_pages(files: DataFrame) -> DataFrame:
 
     def pages(content: bytes):
         with fitz.open(stream=content, filetype="pdf") as doc:
-            for page in doc:
-                yield (page.get_text(),)
-
-    schema = pa.schema([("source", pa.string()), ("page_no", pa.int32()), ("text", pa.string())])
-    return _exploded(files, (".pdf",), pages, "source string, page_no int, text string", schema).withColumn("page_no", F.col("page_no") + 1)
+            for nth, page in enumerate(doc, 1):
+                try:
+                    images = [f"pdf_p{nth:03d}_{k:02d}.{doc.extract_image(x[0])['ext']}" for k, x in enumerate(page.get_images(full=True), 1)]
+                except (RuntimeError, ValueError, KeyError):
+                    images = []
+                try:
+                    tables = [[[c or "" for c in row] for row in t.extract()] for t in page.find_tables().tables]
+                except (RuntimeError, ValueError, AttributeError):
+                    tables = []
+                yield page.get_text(), images, tables
+
+    cells = pa.list_(pa.list_(pa.list_(pa.string())))
+    schema = pa.schema([("source", pa.string()), ("page_no", pa.int32()), ("text", pa.string()), ("images", pa.list_(pa.string())), ("tables", cells)])
+    kind = "source string, page_no int, text string, images array<string>, tables array<array<array<string>>>"
+    return _exploded(files, (".pdf",), pages, kind, schema).withColumn("page_no", F.col("page_no") + 1)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomlake.functions.text import tokens
+from loomlake.plans.knowledge_base import KnowledgeBase
+from loomlake.sources.files import extension, is_supported
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -22,6 +26,33 @@ def ingest_stream(stream: DataFrame, on_batch: Callable[[DataFrame, int], None],
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def binary_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """(source, content, md5, ext) of the files of all supported formats that arrive in a folder."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    rows = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").load(path)
+    rows = rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), "content", F.md5("content").alias("md5"), extension("path").alias("ext"))
+    return rows.where(is_supported("source"))
+
+
+def feed(kb: KnowledgeBase, path: str, checkpoint: str, operator: str = "") -> StreamingQuery:
+    """Ingests what has arrived in a folder into a chunk store: each micro-batch replaces the chunks, postings, vectors and terms of its sources."""
+    return ingest_stream(binary_stream(kb.spark, path), lambda batch, _: kb.ingest(batch, operator), checkpoint)
+
+
+def last_turns_stream(turns: DataFrame, n: int = 5) -> DataFrame:
+    """(session_id, turns): the last n turns of a session, renewed whenever turns (session_id, timestamp, query, answer) arrive."""
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = list(zip(*state.get, strict=True)) if state.exists else []
+        for b in batches:
+            own = sorted([*own, *zip(b.timestamp, b["query"], b.answer, strict=True)])[-n:]
+        state.update(tuple(map(list, zip(*own, strict=True))))
+        yield pd.DataFrame({"session_id": [key[0]], "turns": [[f"{q}\n{a}" for _, q, a in own]]})
+
+    kept = "timestamp array<string>, query array<string>, answer array<string>"
+    return turns.groupBy("session_id").applyInPandasWithState(keep, "session_id string, turns array<string>", kept, "update", GroupStateTimeout.NoTimeout)
+
+
 def term_counts(stream: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, tf) of a stream of documents, kept up to date."""
     return stream.select(F.explode(tokens(text_col)).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
