@@ -1,13 +1,15 @@
 import io
+import random
 import sys
 import zipfile
 
 import pytest
 
 from loomlake.functions import text as X
-from loomlake.operators import bm25, chunking, fusion, memory, prompts, terms
+from loomlake.operators import bm25, chunking, fusion, ingest, memory, prompts, terms, vectors
 from loomlake.plans.knowledge_base import KnowledgeBase
 from loomlake.plans.retrieve import retrieve
+from loomlake.plans.stores import Cache, Conversations
 from loomlake.sources import files
 from loomlake.streaming import streams
 from pyspark.sql import functions as F
@@ -122,12 +124,170 @@ def test_knowledge_base_chunks_pdf_files(spark, tmp_path, monkeypatch):
         assert kb.ledger().isEmpty() and kb.chunks().isEmpty()
         assert kb.parse(files.read_files(spark, str(src)).where("ext = '.txt'")).count() == 1
     # stands for the library, which may not be installed: two pages of the same text
-    page = lambda f: f.where("ext = '.pdf'").select("source", F.explode(F.array(F.lit(1), F.lit(2))).alias("page_no"), F.col("content").cast("string").alias("text"))
+    page = lambda f: f.where("ext = '.pdf'").select("source", F.explode(F.array(F.lit(1), F.lit(2))).alias("page_no"), F.col("content").cast("string").alias("text"), F.array(F.lit("i.png")).alias("images"), F.array(F.array(F.array(F.lit("h"), F.lit("k")), F.array(F.lit("1\n2")))).alias("tables"))
     monkeypatch.setattr(files, "pdf_pages", page)
     stats = {r.source: r for r in kb.upload(str(src)).collect()}
     chunks = {r.chunk_id: r for r in kb.chunks().where("source = 'p.PDF'").collect()}
-    assert stats["p.PDF"].inserted == 2 == len(chunks) and stats["a.txt"].inserted == 1
-    assert (chunks[1].heading, chunks[1].page_content, chunks[1].doc_type) == ("1.1 Scope", "body", "paragraph")
+    assert stats["p.PDF"].inserted == 4 == len(chunks) and stats["a.txt"].inserted == 1
+    assert (chunks[1].heading, chunks[1].page_content, chunks[1].doc_type, chunks[1].images) == ("1.1 Scope", "body", "paragraph", ["i.png"])
+    assert (chunks[2].page_content, chunks[2].doc_type, chunks[2].chapter) == ("| h | k |\n| --- | --- |\n| 1 2 |  |", "table", "第1页")
+    assert {r.source for r in kb.ledger().collect()} == {"p.PDF", "a.txt"}
+
+
+W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+A = "http://schemas.openxmlformats.org/drawingml/2006/main"
+R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _pictured() -> bytes:
+    p = lambda s, rid=None: f"<w:p><w:r><w:t>{s}</w:t>" + (f'<a:blip r:embed="{rid}"/>' if rid else "") + "</w:r></w:p>"
+    cell = lambda s, prop="": f"<w:tc><w:tcPr>{prop}</w:tcPr>{p(s)}</w:tc>"
+    start, on, wide = '<w:vMerge w:val="restart"/>', "<w:vMerge/>", '<w:gridSpan w:val="2"/>'
+    rows = [cell("h", wide) + cell("k"), cell("a") + cell("b") + cell("up", start), cell("c") + cell("d") + cell("", on), cell("e", wide) + cell("", on)]
+    table = "<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for r in rows) + "</w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{W}" xmlns:a="{A}" xmlns:r="{R}"><w:body>{p("1.1 x")}{p("one", "r2")}{p("", "r1")}{p("two", "r2")}{p("", "r9")}{table}</w:body></w:document>')
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="r1" Target="media/image1.JPG"/><Relationship Id="r2" Target="media/image.emf"/></Relationships>')
+        z.writestr("word/media/image1.JPG", b"12")
+        z.writestr("word/media/image.emf", b"123")
+    return out.getvalue()
+
+
+def test_images_and_merged_cells(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "w.docx").write_bytes(_pictured())
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    kb.upload(str(tmp_path / "in"), describe=ingest.image_text)
+    chunks = {r.chunk_id: r for r in kb.chunks().collect()}
+    # r2 stands before r1 in the chunk, an unknown id goes, a repeated one counts once
+    assert chunks[1].images == ["image_0002.png", "image_0001.jpg"] and chunks[1].image_count == 2
+    assert chunks[1].image_description == "图片 1：image.emf，3 字节\n图片 2：image1.JPG，2 字节" and chunks[2].image_description == ""
+    assert chunks[2].page_content == "| h | k |  |\n| --- | --- | --- |\n| a | b | up |\n| c | d | up |\n| e | up |  |"
+
+
+def test_a_broken_upload_is_made_good_by_the_next(spark, tmp_path, monkeypatch):
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(3):
+        (src / f"f{k}.txt").write_text(f"text number {k}")
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    kb.upload(str(src))
+    (src / "f1.txt").write_text("another text")
+    write = KnowledgeBase._replace
+
+    def breaks(self, name, new, gone):
+        if name == "chunks":
+            raise OSError("lost")
+        write(self, name, new, gone)
+
+    with monkeypatch.context() as m:
+        m.setattr(KnowledgeBase, "_replace", breaks)
+        with pytest.raises(OSError):
+            kb.upload(str(src))
+    assert kb.chunks().count() == 3
+    stats = {r.source: r for r in kb.upload(str(src)).collect()}
+    assert (stats["f1.txt"].inserted, stats["f1.txt"].deleted) == (1, 1) and (stats["f0.txt"].inserted, stats["f0.txt"].skipped) == (0, 1)
+    assert sorted(r.page_content for r in kb.chunks().collect()) == ["another text", "text number 0", "text number 2"]
+    # all tables agree, also with an index that is built anew
+    fresh = bm25.build_index(kb.chunks(), "chunk", "page_content")
+    assert sorted(kb.index().postings.collect()) == sorted(fresh.postings.collect()) and kb.index().corpus_stats.first() == fresh.corpus_stats.first()
+    kb.delete("f1.txt")
+    assert sorted(r.source for r in kb.sources().collect()) == ["f0.txt", "f2.txt"] and kb.index().corpus_stats.first().n == 2
+    # what is not a table is no empty one
+    (tmp_path / "bad" / "chunks").mkdir(parents=True)
+    (tmp_path / "bad" / "chunks" / "x.parquet").write_text("no")
+    with pytest.raises(Exception):
+        KnowledgeBase(spark, str(tmp_path / "bad")).chunks().collect()
+
+
+def test_stream_feeds_the_store(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one two")
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    feed = lambda: streams.feed(kb, str(tmp_path / "in"), str(tmp_path / "cp")).awaitTermination(120)
+    feed()
+    (tmp_path / "in" / "b.md").write_text("# T\n\nthree")
+    feed()
+    assert {(r.source, r.page_content) for r in kb.chunks().collect()} == {("a.txt", "one two"), ("b.md", "# T"), ("b.md", "three")}
+    turns = spark.createDataFrame([("s", f"t{k}", f"q{k}", "a") for k in range(8)], "session_id string, timestamp string, query string, answer string")
+    turns.write.parquet(str(tmp_path / "turns"))
+    live = streams.last_turns_stream(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "turns")), 3)
+    q = live.writeStream.format("memory").queryName("last_turns").outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("last_turns").collect()[-1].turns == ["q5\na", "q6\na", "q7\na"]
+
+
+def test_stores_of_conversations_and_caches(spark, tmp_path):
+    store = Conversations(spark, str(tmp_path / "c"))
+    assert store.count() == 0
+    new = lambda *rows: spark.createDataFrame(rows, "session_id string, timestamp string, query string, answer string, context string")
+    store.save(new(("c:1", "2024-01-01 00:00:00", "q", "a", "x"), ("c:1", "2024-01-01 01:00:00", "q2", "a", "x"), ("d:1", "2023-01-01 00:00:00", "q", "a", None)))
+    store.save(new(("c:1", "2024-01-01 02:00:00", "q3", "a", "x")))
+    assert sorted((r.session_id, r.turn) for r in store.load().collect()) == [("c:1", 1), ("c:1", 2), ("c:1", 3), ("d:1", 1)]
+    assert [(r.session_id, r.turns) for r in store.sessions("c").collect()] == [("c:1", 3)] and store.sessions(limit=1).count() == 1
+    assert {r.session_id for r in store.live(F.lit("2024-01-02 00:00:00").cast("timestamp"), 86400).collect()} == {"c:1"}
+    store.clear_sessions(new(("c:1", "", "", "", "")))
+    assert store.count() == 1
+    store.clear()
+    assert store.count() == 0 and store.history().count() == 0
+    cache = Cache(spark, str(tmp_path / "k"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    cache.put(spark.createDataFrame([("answer:1", "old"), ("other:1", "x")], "key string, payload string").withColumn("written_at", at), 10)
+    cache.put(spark.createDataFrame([("answer:1", "new")], "key string, payload string").withColumn("written_at", at + F.make_interval(secs=F.lit(5))), 10)
+    keys = spark.createDataFrame([("answer:1",), ("other:1",), ("none",)], "key string")
+    assert {(r.key, r.payload) for r in cache.get(keys, at + F.make_interval(secs=F.lit(12))).collect()} == {("answer:1", "new")}
+    cache.invalidate()
+    assert {r.key for r in cache.get(keys, at).collect()} == {"other:1"}
+
+
+def test_scalar_forms(spark):
+    row = spark.range(1).select(
+        X.markdown_html(F.lit("**a<b** `c`\nd")).alias("html"), X.new_session_id(F.lit("c")).alias("sid"), X.cut_text(F.lit("abcdef"), 3).alias("cut"),
+        files.is_supported(F.lit("a/b.XLSX")).alias("yes"), files.is_supported(F.lit("b.exe")).alias("no"), ingest.as_list(F.lit("x")).alias("l"),
+    ).first()
+    assert row.html == "<strong>a&lt;b</strong> <code>c</code><br>d" and row.sid.startswith("c:") and len(row.sid) == 38
+    assert (row.cut, row.yes, row.no, row.l) == ("abc", True, False, ["x"])
+
+
+def test_long_texts_are_cut_as_the_rule_says():
+    def plain(text, size, overlap):
+        out, start = [], 0
+        while True:
+            end = start + size
+            if end < len(text):
+                window = range(max(start + 1, end - overlap), end)
+                kinds = [s for s in chunking.SEPARATORS if any(text[i] == s for i in window)]
+                if kinds:
+                    end = max(i for i in window if text[i] == kinds[0]) + 1
+            out.append(text[start:end].strip())
+            if end >= len(text):
+                return [x for x in out if x]
+            start = max(start + 1, end - overlap)
+
+    rng = random.Random(4)
+    for _ in range(300):
+        t = "".join(rng.choice("ab .,\n。x") for _ in range(rng.randint(31, 200)))
+        assert chunking.split_long(t, 30, 8) == plain(t, 30, 8)
+
+
+def test_numbers_within_groups(spark):
+    rows = spark.createDataFrame([("a", 3 * k) for k in range(50)] + [("b", -5), ("b", 7)], "g string, n long")
+    got = chunking.numbered(rows, ["g"], "n", "nth", block=10).collect()
+    assert all(r.nth == r.n // 3 for r in got if r.g == "a") and {(r.n, r.nth) for r in got if r.g == "b"} == {(-5, 0), (7, 1)}
+
+
+def test_saved_index_and_ties(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x y"), (2, "y z")], "doc_id long, text string")
+    index = bm25.build_index(docs)
+    index.save(str(tmp_path / "i"))
+    q = spark.createDataFrame([(0, "y z")], "query_id long, text string")
+    want = bm25.bm25_top(index, q).collect()
+    assert bm25.bm25_top(bm25.Index.load(spark, str(tmp_path / "i")), q).collect() == want == bm25.bm25_top(bm25.index_for(docs, q), q).collect()
+    vecs = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    near = vectors.nearest(vecs, vecs.where("vec_id = 1").withColumnRenamed("vec_id", "query_id"), 3).collect()
+    assert [r.doc for r in sorted(near, key=lambda r: r["rank"])] == [1, 3, 5]
+    assert vectors.nearest(vecs, vecs.where("false").withColumnRenamed("vec_id", "query_id"), 3).count() == 0
 
 
 def test_bad_word_file_is_named(spark):
