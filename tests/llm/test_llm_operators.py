@@ -139,10 +139,14 @@ def test_words_said_again_at_once_are_rejected(spark):
 
 
 def test_hilbert_curve_visits_neighbours(spark):
-    cells = [r.cell for r in hilbert_cells(spark, 3, 2).orderBy("index").collect()]
-    assert sorted(cells) == list(range(64))
-    axes = [[c >> 4 & 3, c >> 2 & 3, c & 3] for c in cells]
-    assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for a, b in zip(axes, axes[1:]))
+    from loomlake.llm.sharding import BITS
+
+    for dims, bits in ((3, 2), (4, BITS)):
+        rows = hilbert_cells(spark, dims, bits).orderBy("index").collect()
+        cells = [r.cell for r in rows]
+        assert sorted(cells) == list(range(1 << dims * bits)) == [r["index"] for r in rows]
+        axes = [[c >> bits * d & (1 << bits) - 1 for d in range(dims)] for c in cells]
+        assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for a, b in zip(axes, axes[1:]))
 
 
 @pytest.mark.parametrize("data", [ODD, EMPTY, [(i, "same") for i in range(500)] + [(None, f"t{i}") for i in range(77)]])
@@ -181,8 +185,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.TOKENIZER)
-    t.encode_special_tokens = True
-    odd = ["it's I'LL 12 a1!!b", "Straße, ÉTÉ. año,", "x\u00a0y\u2003z", "日本語 の", "e\u0301t\u00e9 İ ß ſ", "a\x00b\x1cc", "<|endoftext|>", "…?! «x»."]
+    odd = ["it's I'LL 12 a1!!b", "Straße, ÉTÉ. año,", "x\u00a0y\u2003z", "日本語 の", "e\u0301t\u00e9 İ ß ſ", "a\x00b\x1cc", "<|endoftext|>", "a<|startoftext|>b <|END", "…?! «x»."]
     data = ODD + [(100 + i, s) for i, s in enumerate(odd)]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(frame(spark, data).select(F.col("doc_id") + 10**6, "text"))
     got = packing.pack_documents(docs).collect()
@@ -280,9 +283,13 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     lang = languages.language_report(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang_pred == r.lang for r in lang) >= 0.97 * len(lang)
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     tox = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in tox)
-    assert sum(r.predicted == r.toxic for r in tox) >= 0.9 * len(tox)
+    hit = sum(r.predicted and r.toxic for r in tox)
+    assert hit >= 0.85 * sum(r.toxic for r in tox) and hit >= 0.9 * sum(r.predicted for r in tox)
+    assert abs(sum(r.score - r.toxic for r in tox)) <= 0.06 * len(tox)
 
 
 def test_toxicity_without_labels(spark):
@@ -297,12 +304,13 @@ def test_chunks_survive_insertions():
     text = bytes(rng.integers(97, 123, 6000, dtype=np.uint8))
     cut = lambda d: {d[a:b] for a, b in zip([0, *substrings.chunk_ends(d)], substrings.chunk_ends(d))}
     ends = substrings.chunk_ends(text)
+    assert all(b - a >= substrings.NEAR for a, b in zip([0, *ends], ends[:-1]))
     assert ends[-1] == len(text) and all(b - a <= substrings.MAX_CHUNK for a, b in zip([0, *ends], ends)) and substrings.chunk_ends(b"") == []
-    assert len(cut(text) & cut(text[:3000] + b"inserted" + text[3000:])) >= len(cut(text)) - 6
+    assert len(cut(text) & cut(text[:3000] + b"inserted" + text[3000:])) >= len(cut(text)) - 8
     # the rolling sum, byte by byte
     h = 0
     for k, b in enumerate(text[:200]):
-        h = sum(int(substrings._GEAR[text[k - a]]) << a for a in range(min(16, k + 1))) & 0xFFFF
+        h = sum(int(substrings._GEAR[text[k - a]]) << a for a in range(min(16, k + 1))) & 0xFFFFFFFF
         assert h == int(substrings.gear_hashes(text[:200])[k])
 
 
@@ -320,7 +328,7 @@ def test_repeated_passages(spark):
         if r.doc_id in (1, 4):
             assert texts[r.doc_id].encode()[r.start : r.end].decode() in passage + " "
     cut = {r.doc_id: r.text for r in substrings.cut_passages(docs).collect()}
-    assert cut[1] == texts[1] and len(cut[4]) <= len(texts[4]) - substrings.MIN_RUN and cut[50] is None and cut[51] == ""
+    assert cut[1] == texts[1] and len(cut[4]) <= len(texts[4]) - 5 * substrings.MIN_WORDS and cut[50] is None and cut[51] == ""
     assert substrings.repeated_passages(frame(spark, EMPTY)).count() == 0
 
 
