@@ -17,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import WordHashes, small_batches, text_column, windows, word_hashes, written
+from loomlake.llm.common import WordHashes, likely, slices, small_batches, text_column, texts_of, windows, word_hashes, written
 from loomlake.llm.components import components
 
 WIDTH = 5
@@ -36,6 +36,8 @@ LEAST_ESTIMATE = 0.55
 BLOCK_BYTES = 8 << 20
 #: Candidates of a member whose full sets are compared at once.
 STEP = 64
+#: Parts into which the members of a hub are dealt before they learn of its blocks.
+SALTS = 16
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, N_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -51,63 +53,59 @@ def shingle_set(data: bytes, hashes: WordHashes) -> np.ndarray:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of the universal hashes a * x + b (mod 2^32) over a set that is not empty."""
+    """The least value of each of the universal hashes a * x + b (mod 2^32) over a set that is not empty; its low 16 bits."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     out = np.full(N_HASHES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 1024):
         np.minimum(out, (x[None, at : at + 1024] * _A + _B).min(axis=1), out=out)
-    return out
+    return out.astype(np.uint16)
 
 
-SKETCH = "n long, set_key binary, sig binary, bands array<long>"
+#: bands: the minima, of 16 bits each; the four of a band are one number, its bucket.
+SKETCH = "n long, set_key binary, bands array<long>"
 
 
-def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     hashes = WordHashes()
-    for texts in batches:
-        rows = []
-        for t in texts:
-            s = shingle_set(t.encode(), hashes)
-            if len(s):
-                m = minima(s)
-                keys = [xxhash.xxh3_64_intdigest(m[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) for k in range(BANDS)]
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), m.astype(np.uint8).tobytes(), np.array(keys, np.uint64).view(np.int64)))
-            else:
-                rows.append((0, None, None, None))
-        yield pd.DataFrame(rows, columns=["n", "set_key", "sig", "bands"])
+    for texts in slices(batches):
+        sizes, keys, bands = [], [], []
+        for t in texts_of(texts):
+            s = shingle_set(t, hashes)
+            sizes.append(len(s))
+            keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            bands.append(minima(s).view(np.int64) if len(s) else None)
+        yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["n", "set_key", "bands"])
 
 
-def _estimates(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Share of the minima in which two signatures of 8 bits each agree."""
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, N_HASHES)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, N_HASHES)
-    return (x == y).mean(axis=1)
+def _estimate(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Share of the minima in which two signatures agree."""
+    x, y = (c.flatten().to_numpy().view(np.uint16).reshape(-1, N_HASHES) for c in (a, b))
+    return pa.array((x == y).mean(axis=1))
 
 
-def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(_estimates(a, b))
-
-
-def _linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     hashes = WordHashes()
-    for left, right in batches:
+    for left, right in slices(batches, 1):
         out, last, kept = [], None, None
-        for a, b in zip(left, right, strict=True):
+        for a, b in zip(texts_of(left), texts_of(right), strict=True):
             if a != last:  # pairs of one hub follow each other
-                last, kept = a, shingle_set(a.encode(), hashes)
-            s = shingle_set(b.encode(), hashes)
+                last, kept = a, shingle_set(a, hashes)
+            s = shingle_set(b, hashes)
             common = len(np.intersect1d(kept, s, assume_unique=True))
             out.append(bool(common) and WHOLE * common >= PART * (len(kept) + len(s) - common))
-        yield pd.Series(out, dtype=bool)
+        yield pa.array(out, pa.bool_())
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose full sets are similar enough. texts: (doc_id, text) of classes' first documents."""
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    own = written(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
-    both = pairs.join(own.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    both = both.join(own.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-    return both.where(F.pandas_udf(_linked, "boolean")("a", "b")).select("u", "v").distinct()
+    """Those of pairs (hub, rep) whose full sets are similar enough, as (u, v). texts: (doc_id, text), each row once.
+
+    The text of a rep is shuffled to its pair and with it to its hub, that of a hub once: no text meets a list of pairs.
+    """
+    reps, hubs = pairs.select(F.col("rep").alias("doc_id")).distinct(), pairs.select(F.col("hub").alias("doc_id")).distinct()
+    of_rep = likely(texts, "doc_id", reps).select(F.col("doc_id").alias("rep"), F.col("text").alias("b")).join(pairs, "rep")
+    of_hub = likely(texts, "doc_id", hubs).join(hubs, "doc_id").select(F.col("doc_id").alias("hub"), F.col("text").alias("a"))
+    both = of_rep.join(of_hub, "hub").where(F.arrow_udf(_linked, "boolean")("a", "b"))
+    return both.select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct()
 
 
 def _counts_in(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -117,35 +115,37 @@ def _counts_in(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum([0, *map(len, sets[:-1])]))
 
 
-def _joins(block: pd.DataFrame) -> pd.DataFrame:
+def _joins(block: pa.Table) -> pa.Table:
     """Links (u, v) between members of a block that lie in different components, at most one for two components.
 
     Every row of `is_left` meets the others, but two open members only once. Signatures choose candidates, the full sets
     decide; what a link has joined is not compared any more.
     """
     hashes, out = WordHashes(), []
-    a, b = block[block.is_left], block[~block.is_left]
-    if len(a) and len(b):
-        sets = [shingle_set(t.encode(), hashes) for t in b.text]
-        sigs = np.stack([minima(s).astype(np.uint8) for s in sets])
-        sizes, reps, twice = np.array([len(s) for s in sets]), b.rep.values, b.is_open.values
-        roots = pd.factorize(np.r_[a.comp.values, b.comp.values])[0]
-        for i, (rep, text) in enumerate(zip(a.rep, a.text, strict=True)):
-            own = shingle_set(text.encode(), hashes)
+    is_left = block.column("is_left").to_numpy()
+    a, b = block.filter(pa.array(is_left)), block.filter(pa.array(~is_left))
+    if a.num_rows and b.num_rows:
+        column = lambda t, name: t.column(name).to_numpy()
+        sets = [shingle_set(t, hashes) for t in texts_of(b)]
+        sigs = np.stack([minima(s) for s in sets])
+        sizes, reps, twice = np.array([len(s) for s in sets]), column(b, "rep"), column(b, "is_open")
+        roots = np.unique(np.r_[column(a, "comp"), column(b, "comp")], return_inverse=True)[1]
+        for i, (rep, text) in enumerate(zip(column(a, "rep").tolist(), texts_of(a), strict=True)):
+            own = shingle_set(text, hashes)
             n = len(own)
-            near = (WHOLE * np.minimum(sizes, n) >= PART * np.maximum(sizes, n)) & ~(twice & (reps <= rep)) & (roots[len(a) :] != roots[i])
+            near = (WHOLE * np.minimum(sizes, n) >= PART * np.maximum(sizes, n)) & ~(twice & (reps <= rep)) & (roots[a.num_rows :] != roots[i])
             at = np.flatnonzero(near)
-            e = (sigs[at] == minima(own).astype(np.uint8)).mean(axis=1)
+            e = (sigs[at] == minima(own)).mean(axis=1)
             at = at[np.argsort(-e, kind="stable")[: int((e >= LEAST_ESTIMATE).sum())]]
             while len(at):
                 now, at = at[:STEP], at[STEP:]
                 common = _counts_in(own, [sets[k] for k in now])
                 for k in now[WHOLE * common >= PART * (n + sizes[now] - common)]:
-                    if roots[len(a) + k] != roots[i]:
-                        roots[roots == roots[len(a) + k]] = roots[i]
-                        out.append((min(rep, reps[k]), max(rep, reps[k])))
-                at = at[roots[len(a) + at] != roots[i]]
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+                    if roots[a.num_rows + k] != roots[i]:
+                        roots[roots == roots[a.num_rows + k]] = roots[i]
+                        out.append((min(rep, int(reps[k])), max(rep, int(reps[k]))))
+                at = at[roots[a.num_rows + at] != roots[i]]
+    return pa.table([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
 
 def _rest(members: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -153,26 +153,40 @@ def _rest(members: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
 
     members: (rep, hub). All members of the buckets of one hub are its family, so that those who share many buckets meet
     once. The members outside the hub's component meet the whole family; both sides are cut by a hash into blocks of about
-    BLOCK_BYTES of text, and each pair of blocks is one group.
+    BLOCK_BYTES of text, and each pair of blocks is one group. The members of a hub are joined with what concerns it in
+    SALTS parts, and only texts of families with open members are shuffled.
     """
     comp_of = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"{name}_comp"))
     rows = members.select("hub", "rep").distinct().join(comp_of("rep"), "rep", "left").join(comp_of("hub"), "hub", "left")
     rows = rows.select("hub", "rep", F.coalesce("rep_comp", "rep").alias("comp"), (F.coalesce("rep_comp", "rep") != F.coalesce("hub_comp", "hub")).alias("is_open"))
+    rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")), "families")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    rows = rows.join(rows.where("is_open").select("hub").distinct().select("hub", salts), ["hub", "salt"], "left_semi")
     rows = written(rows, "families")
-    rows = rows.join(rows.where("is_open").select("hub").distinct(), "hub", "left_semi")
-    own = texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    needed = rows.select(F.col("rep").alias("doc_id")).distinct()
+    own = likely(texts, "doc_id", needed).join(needed, "doc_id", "left_semi")
     own = written(own.select(F.col("doc_id").alias("rep"), "text", F.octet_length("text").cast("long").alias("bytes")), "texts")
-    rows = rows.join(own.groupBy("rep").agg(F.sum("bytes").alias("bytes")), "rep")
+    rows = written(rows.join(own.groupBy("rep").agg(F.sum("bytes").alias("bytes")), "rep"), "families")
     parts = lambda size: F.ceil((size + F.lit(1)) / BLOCK_BYTES).cast("int")
     cuts = rows.groupBy("hub").agg(parts(F.sum("bytes")).alias("n_right"), parts(F.sum(F.when(F.col("is_open"), F.col("bytes")).otherwise(0))).alias("n_left"))
-    rows = rows.drop("bytes").join(cuts, "hub")
+    rows = rows.drop("bytes").join(cuts.select("*", salts), ["hub", "salt"])
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     common = ["hub", "rep", "comp", "is_open"]
     right = rows.select(*common, F.lit(False).alias("is_left"), block("n_right").alias("j"), every("n_left").alias("i"))
     left = rows.where("is_open").select(*common, F.lit(True).alias("is_left"), every("n_right").alias("j"), block("n_left").alias("i"))
     both = right.unionByName(left).join(own.select("rep", "text"), "rep")
-    return both.groupBy("hub", "i", "j").applyInPandas(_joins, "u long, v long").distinct()
+    return both.groupBy("hub", "i", "j").applyInArrow(_joins, "u long, v long").distinct()
+
+
+def _once(texts: DataFrame, sketched: DataFrame) -> DataFrame:
+    """texts (doc_id, text) without repeated rows; only those of ids that stand on several rows are looked at."""
+    several = sketched.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    several = written(several, "repeated")
+    if several.isEmpty():
+        return texts
+    others = texts.join(several, "doc_id", "left_anti")
+    return written(others.union(likely(texts, "doc_id", several).join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])), "once")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,44 +196,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and it is kept. Repeated rows count as one document and all get its row. A doc_id with several texts is one
     document that has the links of all of them. Other columns are not read. An empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    sketched = plain.select("doc_id", F.pandas_udf(_sketch, SKETCH)("text").alias("s"))
+    sketched = plain.select("doc_id", F.arrow_udf(_sketch, SKETCH)("text").alias("s"))
     sketched = written(sketched.select("doc_id", "s.*"), "sketches")
 
     named = sketched.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(named.groupBy("set_key", "sig", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "classes")
-    sigs = classes.select("rep", "n", "sig").distinct()
+    classes = written(named.groupBy("set_key", "n", "bands").agg(F.min("doc_id").alias("rep")), "classes")
 
-    bands = classes.select("rep", F.explode("bands").alias("key")).distinct()
+    bands = classes.select("rep", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(bands.join(sizes, "key"), "buckets")
     # texts without a word have no class, though their doc_id may have others
-    with_words = plain.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    texts = _once(plain.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), sketched)
     # the text that copies were made from meets more of them than they meet each other: it is the hub of all its buckets
     weights = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
     hubs = shared.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
     members = written(shared.join(hubs, "key"), "members")
 
-    pairs = members.where("rep <> hub").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
-    side = lambda name: sigs.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
-    pairs = pairs.join(side("u"), "u").where("n_u > 0").join(side("v"), "v")
+    pairs = members.where("rep <> hub").groupBy(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).agg(F.min("hub").alias("hub"))
+    side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("bands").alias(f"sig_{name}"))
+    pairs = pairs.join(side("u"), "u").join(side("v"), "v")
     pairs = pairs.where(F.lit(WHOLE) * F.least("n_u", "n_v") >= F.lit(PART) * F.greatest("n_u", "n_v"))
-    pairs = pairs.select("u", "v", F.pandas_udf(_estimate, "double")("sig_u", "sig_v").alias("e")).where(F.col("e") >= LEAST_ESTIMATE)
-    pairs = written(pairs.groupBy("u", "v").agg(F.max("e").alias("e")), "pairs")
+    pairs = pairs.select("u", "v", "hub", F.arrow_udf(_estimate, "double")("sig_u", "sig_v").alias("e")).where(F.col("e") >= LEAST_ESTIMATE)
+    pairs = written(pairs.groupBy("u", "v", "hub").agg(F.max("e").alias("e")), "pairs")
 
     # a doc_id with several texts joins the classes of all of them
     reps = named.select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
     several = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id")
     edges = reps.join(several, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
-    ends = pairs.select(F.col("u").alias("w"), "u", "v", "e").union(pairs.select("v", "u", "v", "e"))
-    best = ends.groupBy("w").agg(F.max_by(F.struct("u", "v"), F.struct("e", "u", "v")).alias("p")).select("p.*").distinct()
-    edges = written(edges.union(_confirmed(best, plain)), "links")
+    rep = F.when(F.col("hub") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("rep")
+    ends = pairs.select(F.col("u").alias("w"), "hub", rep, "e").union(pairs.select("v", "hub", rep, "e"))
+    best = ends.groupBy("w").agg(F.max_by(F.struct("hub", "rep"), F.struct("e", "hub", "rep")).alias("p")).select("p.*").distinct()
+    edges = written(edges.union(_confirmed(written(best, "best"), texts)), "links")
     comps = components(edges)
 
     # most joins by a best estimate; what remains apart within a family meets in blocks
-    edges = written(edges.union(_rest(members, comps, with_words)), "links")
+    edges = written(edges.union(_rest(members, comps, texts)), "links")
     comps = components(edges)
 
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("least"))
@@ -229,6 +247,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are near duplicates of one with a smaller doc_id; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """docs without the documents that are near duplicates of one with a smaller doc_id; all columns stay.
+
+    Repeated rows of one doc_id are one document and stay or go together. Rows without an id stay, as do null and empty
+    texts. A column of docs may have any name.
+    """
+    gone = written(near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
