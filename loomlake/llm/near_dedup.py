@@ -32,8 +32,8 @@ N_HASHES = BANDS * ROWS
 PART, WHOLE = 75, 100
 #: Pairs whose signatures agree in less than this part are not confirmed: 5 standard deviations below 0.75.
 LEAST_ESTIMATE = 0.55
-#: Bytes of the texts of a block, of which two meet in one group.
-BLOCK_BYTES = 8 << 20
+#: Bytes of the texts, and members, of a block at most, about; two blocks meet in one group.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 2048
 #: Candidates of a member whose full sets are compared at once.
 STEP = 64
 #: Parts into which the members of a hub are dealt before they learn of its blocks.
@@ -153,7 +153,7 @@ def _rest(members: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
 
     members: (rep, hub). All members of the buckets of one hub are its family, so that those who share many buckets meet
     once. The members outside the hub's component meet the whole family; both sides are cut by a hash into blocks of about
-    BLOCK_BYTES of text, and each pair of blocks is one group. The members of a hub are joined with what concerns it in
+    BLOCK_BYTES of text or BLOCK_ROWS members, and each pair of blocks is one group. The members of a hub are joined with what concerns it in
     SALTS parts, and only texts of families with open members are shuffled.
     """
     comp_of = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"{name}_comp"))
@@ -167,8 +167,9 @@ def _rest(members: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
     own = likely(texts, "doc_id", needed).join(needed, "doc_id", "left_semi")
     own = written(own.select(F.col("doc_id").alias("rep"), "text", F.octet_length("text").cast("long").alias("bytes")), "texts")
     rows = written(rows.join(own.groupBy("rep").agg(F.sum("bytes").alias("bytes")), "rep"), "families")
-    parts = lambda size: F.ceil((size + F.lit(1)) / BLOCK_BYTES).cast("int")
-    cuts = rows.groupBy("hub").agg(parts(F.sum("bytes")).alias("n_right"), parts(F.sum(F.when(F.col("is_open"), F.col("bytes")).otherwise(0))).alias("n_left"))
+    parts = lambda size, n: F.greatest(F.ceil((size + F.lit(1)) / BLOCK_BYTES), F.ceil((n + F.lit(1)) / BLOCK_ROWS)).cast("int")
+    is_open = F.col("is_open").cast("long")
+    cuts = rows.groupBy("hub").agg(parts(F.sum("bytes"), F.count("*")).alias("n_right"), parts(F.sum(is_open * F.col("bytes")), F.sum(is_open)).alias("n_left"))
     rows = rows.drop("bytes").join(cuts.select("*", salts), ["hub", "salt"])
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
