@@ -116,7 +116,8 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     # groups of equal texts lie together, in the first of their cells
     text_key = ["h", "text_crc32", "size"]
     groups = rows.groupBy(*text_key).agg(F.count("*").alias("n_group"), F.min("index").alias("place")).where("n_group > 1")
-    rows = rows.join(groups, text_key, "left")
+    # a table of its own, so that Spark may split the rows of a text that very many have
+    rows = rows.join(written(groups, "groups"), text_key, "left")
     rows = written(rows.select("doc_id", "row", *text_key, F.coalesce("place", "index").alias("index"), F.coalesce("n_group", F.lit(1)).alias("n_group")), "rows")
 
     total = rows.count()
