@@ -38,6 +38,8 @@ BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 2048
 STEP = 64
 #: Parts into which the members of a hub are dealt before they learn of its blocks.
 SALTS = 16
+#: Classes of more than one in HOT of all rows are broadcast, of which there are fewer than HOT.
+HOT = 4096
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, N_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -207,7 +209,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sketched = written(sketched.select("doc_id", "s.*"), "sketches")
 
     named = sketched.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(named.groupBy("set_key", "n", "bands").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(named.groupBy("set_key", "n", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
     bands = classes.select("rep", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -226,10 +228,11 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = pairs.select("u", "v", "hub", F.arrow_udf(_estimate, "double")("sig_u", "sig_v").alias("e")).where(F.col("e") >= LEAST_ESTIMATE)
     pairs = written(pairs.groupBy("u", "v", "hub").agg(F.max("e").alias("e")), "pairs")
 
-    # a doc_id with several texts joins the classes of all of them
-    reps = named.select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
-    several = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id")
-    edges = reps.join(several, "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    # a doc_id with several texts joins the classes of all of them; only such ids are joined with their classes
+    of_id = F.xxhash64("set_key", "n")
+    several = named.groupBy("doc_id").agg(F.min(of_id).alias("a"), F.max(of_id).alias("b")).where("a <> b").select("doc_id")
+    reps = written(named.select("doc_id", "set_key").join(several, "doc_id", "left_semi"), "several").join(classes.select("set_key", "rep"), "set_key")
+    edges = reps.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
 
     rep = F.when(F.col("hub") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("rep")
     ends = pairs.select(F.col("u").alias("w"), "hub", rep, "e").union(pairs.select("v", "hub", rep, "e"))
@@ -241,8 +244,16 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     edges = written(edges.union(_rest(members, comps, texts)), "links")
     comps = components(edges)
 
-    of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("least"))
-    out = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class.groupBy("set_key").agg(F.min("least").alias("least")), "set_key", "left")
+    of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = written(of_class.groupBy("set_key").agg(F.min(F.coalesce("component", "rep")).alias("least"), F.sum("copies").alias("copies")), "least")
+    # copies of one text may be a third of all rows, and so may rows without a set: neither are shuffled by it
+    most = sketched.count() // HOT
+    hot = F.broadcast(of_class.where(F.col("copies") > most).select("set_key", "least"))
+    rows = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
+    keyed = rows.where("set_key IS NOT NULL")
+    others = keyed.join(hot.select("set_key"), "set_key", "left_anti").join(of_class.where(F.col("copies") <= most).select("set_key", "least"), "set_key", "left")
+    out = rows.where("set_key IS NULL").withColumn("least", F.lit(None).cast("long"))
+    out = out.unionByName(keyed.join(hot, "set_key")).unionByName(others)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.llm import common, decontaminate, languages, packing, quality, secrets, substrings, urls
+from loomlake.llm import common, decontaminate, languages, near_dedup, packing, quality, secrets, substrings, urls
 from loomlake.llm.sharding import hilbert_shards, write_shards
 
 SF = "/root/testdata/sf0.001"
@@ -287,3 +287,20 @@ def test_quality_catches_labelled_documents(spark):
     got = quality.quality(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("NOT base_failed").join(labels, "doc_id").collect()
     bad, good = ([r.kept for r in got if r.quality == x] for x in (0, 1))
     assert len(bad) >= 10 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.99 * len(good)
+
+
+@pytest.mark.parametrize("hot", [1, 5, 4096])
+def test_hot_classes_get_the_rows_of_others(spark, monkeypatch, hot):
+    """Whatever is broadcast, joined or has no set: every row comes back, with the least id that its links reach."""
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(30))
+    data = [(i, text(0)) for i in range(40)] + [(100 + i, text(1 + i % 9)) for i in range(27)] + [(200 + i, "") for i in range(12)] + [(None, text(0))] * 3
+    # an id with three texts links their classes
+    data += [(300, text(3)), (300, text(5)), (300, text(20))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = Counter()
+    for i, t in data:
+        k = None if i is None or not t else int(t.split("x")[0][1:])
+        least = i if k is None else 0 if k == 0 else 102 if i == 300 or k in (3, 5) else 99 + k
+        want[i, 26 if t else 0, least, i is None or i == least] += 1
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
