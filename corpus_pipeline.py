@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL has neither the forest nor the tokenizer; tests/llm/test_pipeline.py holds the stages against brute force.
+#: SQL has neither the forest nor the tokenizer; tests/llm/test_llm_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
