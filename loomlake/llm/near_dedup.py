@@ -225,7 +225,9 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("bands").alias(f"sig_{name}"))
     pairs = pairs.join(side("u"), "u").join(side("v"), "v")
     pairs = pairs.where(F.lit(WHOLE) * F.least("n_u", "n_v") >= F.lit(PART) * F.greatest("n_u", "n_v"))
-    pairs = pairs.select("u", "v", "hub", F.arrow_udf(_estimate, "double")("sig_u", "sig_v").alias("e")).where(F.col("e") >= LEAST_ESTIMATE)
+    # not deterministic for Catalyst, which else estimates once for the filter and again, in a second worker, for the column
+    estimate = F.arrow_udf(_estimate, "double").asNondeterministic()
+    pairs = pairs.select("u", "v", "hub", estimate("sig_u", "sig_v").alias("e")).where(F.col("e") >= LEAST_ESTIMATE)
     pairs = written(pairs.groupBy("u", "v", "hub").agg(F.max("e").alias("e")), "pairs")
 
     # a doc_id with several texts joins the classes of all of them; only such ids are joined with their classes
