@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import WordHashes, bounded_sample, slices, texts_of, windows, word_hashes, written
+from loomlake.llm.common import WordHashes, bounded_sample, slices, small_batches, texts_of, windows, word_hashes, written
 
 #: Small subsamples, since bad rows are not rare: in large ones they hide each other.
 N_TREES, SUBSAMPLE = 128, 64
@@ -228,10 +228,9 @@ def _threshold(hist: dict[tuple[int, int], int], lost: int = 0) -> int:
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """docs without the rows whose text the rules or a forest reject; no text is shuffled.
 
-    All columns stay, whatever their names. A null or empty text has no words and goes. Repeated rows stay or go together.
+    The rows are written with their counts, so that every text is counted once; the forests read the counts only. All
+    columns stay, whatever their names. A null or empty text has no words and goes. Repeated rows stay or go together.
     """
-    counts = written(rule_counts(docs, id_col, text_col).withColumn("base_failed", base_failed()), "counts")
-    forests, thresholds = _fitted(counts, labels, id_col, label_col)
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
@@ -241,5 +240,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     counted = F.arrow_udf(count, ", ".join(f"{k} long" for k in COUNTS))(F.col(text_col).cast("string")).alias("_counts")
-    rows = docs.select(own, counted).select("_row", "_counts.*").withColumn("base_failed", base_failed())
+    with small_batches(docs.sparkSession):
+        rows = written(docs.select(own, F.col(id_col).cast("long").alias("doc_id"), counted).select("_row", "doc_id", "_counts.*"), "counted")
+    rows = rows.withColumn("base_failed", base_failed())
+    forests, thresholds = _fitted(rows.drop("_row"), labels, id_col, label_col)
     return _judged(rows, forests, thresholds).where("kept").select("_row.*")
