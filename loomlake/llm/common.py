@@ -19,7 +19,7 @@ SLICE_BYTES = 4 << 20
 #: Bytes of a text that are split into words at once, so that a very long text needs no list of all its words.
 SEGMENT_BYTES = 1 << 22
 #: Words whose hash a worker remembers before it starts anew.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
 #: Bits of the broadcast bitmap of `likely` at most (16 MB).
 MAX_BITS = 1 << 27
 
