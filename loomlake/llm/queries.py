@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomlake.llm import sql
+from loomlake.llm.alignment import align_tokens
 from loomlake.llm.decontaminate import contamination_report
 from loomlake.llm.languages import language_report
 from loomlake.llm.near_dedup import near_duplicates
@@ -79,3 +80,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"))
