@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomlake.llm import sql
 from loomlake.llm.alignment import align_tokens
 from loomlake.llm.decontaminate import contamination_report
+from loomlake.llm.fingerprints import edit_report
 from loomlake.llm.languages import language_report
 from loomlake.llm.near_dedup import near_duplicates
 from loomlake.llm.packing import pack_documents
@@ -85,3 +86,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(_table(spark, sf_dir, "documents"))
