@@ -18,6 +18,7 @@ from loomlake.llm.secrets import secret_spans
 from loomlake.llm.sharding import hilbert_shards
 from loomlake.llm.substrings import repeated_passages
 from loomlake.llm.toxicity import toxicity
+from loomlake.llm.tries import conversation_trie
 from loomlake.llm.urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,8 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
