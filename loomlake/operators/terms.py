@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions.text import CHINESE, tokens
+from loomlake.operators.bm25 import Tokenize
 
 TOP_TERMS, MIN_LEN, MAX_LEN = 60, 2, 6
 MAX_EXPAND = 3
@@ -24,12 +25,12 @@ def is_term(term: str | Column, script: str | None = CHINESE) -> Column:
     return fits & c.rlike(script) if script else fits
 
 
-def source_terms(docs: DataFrame, top: int = TOP_TERMS, script: str | None = CHINESE) -> DataFrame:
+def source_terms(docs: DataFrame, top: int = TOP_TERMS, script: str | None = CHINESE, tokenize: Tokenize = tokens) -> DataFrame:
     """(source, term, n, term_rank): the most frequent terms of each source; ties in order of the term.
 
     Counts are summed up in each task before they are shuffled, so a source with a third of all documents is no burden.
     """
-    words = docs.select("source", F.explode(tokens("text")).alias("term")).where(is_term("term", script))
+    words = docs.select("source", F.explode(tokenize("text")).alias("term")).where(is_term("term", script))
     counts = words.groupBy("source", "term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy(F.desc("n"), "term")
     return counts.withColumn("term_rank", F.row_number().over(order)).where(F.col("term_rank") <= top)
@@ -42,14 +43,14 @@ def all_terms(terms: DataFrame) -> DataFrame:
     return first.select("term", F.row_number().over(Window.orderBy("at", "term")).alias("dict_pos"))
 
 
-def rewrite(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+def rewrite(queries: DataFrame, dictionary: DataFrame, tokenize: Tokenize = tokens) -> DataFrame:
     """(query_id, query, rewritten): terms that contain a token of the query are appended, three a token at most.
 
     dictionary: (term, dict_pos). A token that is a stopword, shorter than two characters or a term itself is not
     expanded, nor is a term appended that the query holds already. Terms are short, so a token inside a term is found by an
     equal join on the parts of terms, not by comparing all with all.
     """
-    words = queries.select("query_id", F.col("query"), F.posexplode(tokens("query")).alias("qpos", "token"))
+    words = queries.select("query_id", F.col("query"), F.posexplode(tokenize("query")).alias("qpos", "token"))
     words = words.where((F.length("token") >= 2) & ~F.col("token").isin(QUERY_STOPWORDS)).join(dictionary.select(F.col("term").alias("token")), "token", "left_anti")
     n = F.length("term")
     ends = lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.col("term").substr(i, j - i + 1))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions import text as X
-from loomlake.operators import bm25, chunking, fusion, ingest, memory, prompts, terms, vectors
+from loomlake.operators import bm25, chunking, fusion, ingest, memory, prompts, segment, terms, vectors
 from loomlake.plans.retrieve import retrieve
 from loomlake.plans.stores import Cache, Conversations
 
@@ -460,6 +460,75 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(terms.is_term("t"))
 
 
+# texts without a Chinese letter stand for Chinese ones: letters become characters, and most of the spaces between words go;
+# with 26 characters no word can be as unlikely as by chance among thousands, so less cohesion is asked for
+_LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+_CHINESE = f"han AS (SELECT doc_id, source, translate(regexp_replace(lower(text), ' ([a-p])', '\\1', 'g'), '{_LATIN}', '{_HAN}') AS text FROM documents)"
+_HAN_RUN = r"[\x{4e00}-\x{9fff}]+"
+_WORD_LIST = f"""{_CHINESE}, runs AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_HAN_RUN}')) AS run FROM han) GROUP BY run),
+grams AS MATERIALIZED (SELECT gram, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, unnest(list_transform(range(1, length(run) - k + 2), lambda i: substr(run, i, k))) AS gram FROM (SELECT run, n, unnest(range(1, least(length(run), 7) + 1)) AS k FROM runs)) GROUP BY gram),
+chars AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM grams WHERE length(gram) = 1),
+cand AS (SELECT gram AS word, n FROM grams WHERE length(gram) BETWEEN 2 AND 6 AND n >= 5),
+apart AS (SELECT word, max(CAST(a.n AS DOUBLE) * b.n) AS apart FROM (SELECT word, unnest(range(1, length(word))) AS k FROM cand) c JOIN grams a ON a.gram = substr(word, 1, k) JOIN grams b ON b.gram = substr(word, k + 1) GROUP BY word),
+rights AS (SELECT left(gram, -1) AS word, sum(n * ln(n)) AS s FROM grams WHERE length(gram) >= 3 GROUP BY 1), lefts AS (SELECT substr(gram, 2) AS word, sum(n * ln(n)) AS s FROM grams WHERE length(gram) >= 3 GROUP BY 1),
+stats AS (SELECT c.word, c.n, round(ln(c.n * total / apart), 6) AS cohesion, round(ln(c.n) - coalesce(l.s, 0) / c.n, 6) + 0e0 AS left_freedom, round(ln(c.n) - coalesce(r.s, 0) / c.n, 6) + 0e0 AS right_freedom
+  FROM cand c JOIN apart USING (word) LEFT JOIN rights r ON r.word = c.word LEFT JOIN lefts l ON l.word = c.word, chars),
+listed AS (SELECT word, n FROM stats WHERE cohesion >= 1 AND least(left_freedom, right_freedom) >= 0.7 UNION ALL SELECT gram, n FROM grams WHERE length(gram) = 1),
+words AS MATERIALIZED (SELECT word, n, CAST(round(ln(n / (SELECT sum(n) FROM listed)) * 1000000) AS BIGINT) AS weight FROM listed)"""
+
+
+def _han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.translate(F.regexp_replace(F.lower("text"), " ([a-p])", "$1"), _LATIN, _HAN)
+    return table(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text"))
+
+
+@query(f"WITH {_WORD_LIST} SELECT word, n, cohesion, left_freedom, right_freedom FROM stats")
+def word_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What decides which runs of characters are words."""
+    counts = segment.gram_counts(segment.run_counts(_han(spark, sf_dir)))
+    total = counts.where("length(gram) = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return segment.word_statistics(counts, total)
+
+
+@query(f"WITH {_WORD_LIST} SELECT word, n, weight FROM words")
+def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.fit_words(_han(spark, sf_dir), cohesion=1.0)
+
+
+# the best path to each place of a run, as two lists that grow by a place a step: its weight, and its words
+_CUT = f"""{_WORD_LIST}, book AS (SELECT map_from_entries(list((word, weight))) AS weights, min(weight) - 1000000 AS unknown, CAST(max(length(word)) AS BIGINT) AS longest FROM words),
+steps AS (SELECT run, [CAST(0 AS BIGINT)] AS best, [''] AS words FROM runs
+  UNION ALL
+  SELECT run, list_append(best, o.s), list_append(words, words[len(best) - o.n + 1] || ' ' || substr(run, len(best) - o.n + 1, o.n)) FROM (
+    SELECT run, best, words, list_max(list_filter(list_transform(range(1, least(longest, len(best)) + 1), lambda n: {{'s': best[len(best) - n + 1] + coalesce(weights[substr(run, len(best) - n + 1, n)], CASE WHEN n = 1 THEN unknown END), 'n': n}}), lambda x: x.s IS NOT NULL)) AS o
+    FROM steps, book WHERE len(best) <= length(run))),
+cut AS MATERIALIZED (SELECT run, string_split(substr(words[-1], 2), ' ') AS toks FROM steps WHERE len(best) = length(run) + 1)"""
+_PIECES = r"regexp_extract_all(text, '[\x{4e00}-\x{9fff}]+|[A-Za-z0-9_]+|[^\s\x{0b}\x{85}\x{a0}\x{2028}\x{2029}]')"
+
+
+@query(f"""WITH RECURSIVE {_CUT}, pieces AS (SELECT doc_id, unnest(range(0, len(p))) AS place, unnest(p) AS piece FROM (SELECT doc_id, {_PIECES} AS p FROM han)),
+told AS (SELECT doc_id, place, coalesce(toks, [piece]) AS toks FROM pieces LEFT JOIN cut ON run = piece)
+SELECT h.doc_id, CAST(coalesce(sum(len(toks)), 0) AS INTEGER) AS n_tokens, md5(coalesce(string_agg(array_to_string(toks, ' '), ' ' ORDER BY place), '')) AS tokens_md5 FROM han h LEFT JOIN told t ON t.doc_id = h.doc_id GROUP BY h.doc_id""")
+def word_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut into the words of the dictionary that was fitted on them."""
+    docs = _han(spark, sf_dir)
+    cut = segment.segmenter(segment.fit_words(docs, cohesion=1.0))
+    rows = docs.select("doc_id", cut("text").alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+_HAN_TERMS = f"""{_CUT}, terms AS (SELECT source, term, count(*) AS n, CAST(row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, term) AS INTEGER) AS term_rank
+  FROM (SELECT source, unnest(toks) AS term FROM (SELECT source, unnest(regexp_extract_all(text, '{_HAN_RUN}')) AS piece FROM han) JOIN cut ON run = piece)
+  WHERE length(term) BETWEEN 2 AND 6 AND term NOT IN ({_STOPWORDS}) GROUP BY source, term QUALIFY term_rank <= 60)"""
+
+
+@query(f"WITH RECURSIVE {_HAN_TERMS} SELECT * FROM terms")
+def word_terms_top60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent words of each source, of texts that are written without spaces."""
+    docs = _han(spark, sf_dir)
+    return terms.source_terms(docs, tokenize=segment.segmenter(segment.fit_words(docs, cohesion=1.0)))
+
+
 _CJK = "('课程成绩', 1), ('学习成绩', 2), ('成绩', 3), ('老师成绩单', 4), ('实习成绩', 5), ('学分gpa绩点', 6)"
 _ASKED_CJK = "SELECT doc_id AS query_id, CASE doc_id % 4 WHEN 0 THEN '他的学习成绩怎么样？gpa' WHEN 1 THEN 'gpa 学分' WHEN 2 THEN '成绩' ELSE 'gp_a 的' END AS query FROM documents"
 

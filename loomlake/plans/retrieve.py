@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.functions.text import text_key
+from loomlake.functions.text import text_key, tokens
 from loomlake.operators import bm25, fusion, terms, vectors
 
 DIMS = 256
@@ -50,6 +50,9 @@ def retrieve(
     top_k: int = 3,
     index: bm25.Index | None = None,
     stored: DataFrame | None = None,
+    tokenize: bm25.Tokenize = tokens,
+    segment: bm25.Tokenize | None = None,
+    lexical: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, rank, chunk columns): the top_k chunks of each query.
 
@@ -58,16 +61,21 @@ def retrieve(
     stands for all. `relevance` scores (query, page_content) for the rerank; without it the fused order stays.
 
     index and stored vectors (chunk, embedding) spare building them; with both, and a column text_key in chunks, the texts
-    of hits alone are read.
+    of hits alone are read. tokenize gives the tokens of the lexical route, segment those that are rewritten (by default
+    the same). lexical(asked, top_n) takes the place of the lexical route: (query_id, doc, rank) of asked (query_id, text).
     """
     variants = queries.select("query_id", F.lit(0).alias("variant"), F.col("query").alias("text"))
     if dictionary is not None:
-        again = terms.rewrite(queries, dictionary).where("rewritten <> query")
+        again = terms.rewrite(queries, dictionary, segment or tokenize).where("rewritten <> query")
         variants = variants.union(again.select("query_id", F.lit(1), "rewritten"))
     ids = F.col("query_id") * 2 + F.col("variant")
     asked = variants.select(ids.alias("query_id"), "text")
-    lexical = index or bm25.index_for(chunks, asked, "chunk", "page_content")
-    hits = bm25.bm25_top(lexical, asked, top_n).select("query_id", "doc", F.lit(1).alias("route"), "rank")
+    if lexical is None:
+        index = index or bm25.index_for(chunks, asked, "chunk", "page_content", tokenize)
+        found = bm25.bm25_top(index, asked, top_n, tokenize=tokenize)
+    else:
+        found = lexical(asked, top_n)
+    hits = found.select("query_id", "doc", F.lit(1).alias("route"), "rank")
     if embed is not None:
         if stored is None:
             stored = chunks.select("chunk", embed("page_content").alias("embedding"))

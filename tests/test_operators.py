@@ -1,5 +1,6 @@
 import io
 import random
+import shutil
 import sys
 import zipfile
 
@@ -9,6 +10,7 @@ from loomlake.functions import text as X
 from loomlake.operators import bm25, chunking, fusion, ingest, memory, prompts, terms, vectors
 from loomlake.plans.knowledge_base import KnowledgeBase
 from loomlake.plans.retrieve import retrieve
+from loomlake.plans.snapshots import Snapshots
 from loomlake.plans.stores import Cache, Conversations
 from loomlake.sources import files
 from loomlake.streaming import streams
@@ -174,17 +176,33 @@ def test_a_broken_upload_is_made_good_by_the_next(spark, tmp_path, monkeypatch):
     kb = KnowledgeBase(spark, str(tmp_path / "kb"))
     kb.upload(str(src))
     (src / "f1.txt").write_text("another text")
-    write = KnowledgeBase._replace
-
-    def breaks(self, name, new, gone):
-        if name == "chunks":
-            raise OSError("lost")
-        write(self, name, new, gone)
-
-    with monkeypatch.context() as m:
-        m.setattr(KnowledgeBase, "_replace", breaks)
-        with pytest.raises(OSError):
-            kb.upload(str(src))
+    write, n_writes = Snapshots.write, [0]
+
+    def counts(self, *args):
+        n_writes[0] += 1
+        return write(self, *args)
+
+    with monkeypatch.context() as m:  # the same upload into a copy tells how many parts are written
+        m.setattr(Snapshots, "write", counts)
+        shutil.copytree(tmp_path / "kb", tmp_path / "copy")
+        KnowledgeBase(spark, str(tmp_path / "copy")).upload(str(src))
+    assert n_writes[0] >= 9
+    before = sorted(kb.index().postings.collect())
+    for dies_at in {0, n_writes[0] // 2, n_writes[0]}:
+        left = [dies_at]
+
+        def breaks(self, *args):
+            left[0] -= 1
+            if left[0] < 0:
+                raise OSError("lost")
+            return write(self, *args)
+
+        with monkeypatch.context() as m:
+            m.setattr(Snapshots, "write", breaks)
+            m.setattr(Snapshots, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                kb.upload(str(src))
+        assert sorted(kb.index().postings.collect()) == before and kb.ledger().count() == 3
     assert kb.chunks().count() == 3
     stats = {r.source: r for r in kb.upload(str(src)).collect()}
     assert (stats["f1.txt"].inserted, stats["f1.txt"].deleted) == (1, 1) and (stats["f0.txt"].inserted, stats["f0.txt"].skipped) == (0, 1)
@@ -195,8 +213,8 @@ def test_a_broken_upload_is_made_good_by_the_next(spark, tmp_path, monkeypatch):
     kb.delete("f1.txt")
     assert sorted(r.source for r in kb.sources().collect()) == ["f0.txt", "f2.txt"] and kb.index().corpus_stats.first().n == 2
     # what is not a table is no empty one
-    (tmp_path / "bad" / "chunks").mkdir(parents=True)
-    (tmp_path / "bad" / "chunks" / "x.parquet").write_text("no")
+    (tmp_path / "bad" / "log").mkdir(parents=True)
+    (tmp_path / "bad" / "log" / "x.parquet").write_text("no")
     with pytest.raises(Exception):
         KnowledgeBase(spark, str(tmp_path / "bad")).chunks().collect()
 
