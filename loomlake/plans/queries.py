@@ -460,10 +460,11 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(terms.is_term("t"))
 
 
-# texts without a Chinese letter stand for Chinese ones: letters become characters, and most of the spaces between words go;
+# texts without a Chinese letter stand for Chinese ones: letters become characters, most of the spaces between words go, and a
+# sentence ends after 40 letters at most, as the SQL form needs a step for each letter;
 # with 26 characters no word can be as unlikely as by chance among thousands, so less cohesion is asked for
 _LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
-_CHINESE = f"han AS (SELECT doc_id, source, translate(regexp_replace(lower(text), ' ([a-p])', '\\1', 'g'), '{_LATIN}', '{_HAN}') AS text FROM documents)"
+_CHINESE = f"han AS (SELECT doc_id, source, translate(regexp_replace(regexp_replace(lower(text), ' ([a-p])', '\\1', 'g'), '([a-z]{{40}})', '\\1。', 'g'), '{_LATIN}', '{_HAN}') AS text FROM documents)"
 _HAN_RUN = r"[\x{4e00}-\x{9fff}]+"
 _WORD_LIST = f"""{_CHINESE}, runs AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_HAN_RUN}')) AS run FROM han) GROUP BY run),
 grams AS MATERIALIZED (SELECT gram, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, unnest(list_transform(range(1, length(run) - k + 2), lambda i: substr(run, i, k))) AS gram FROM (SELECT run, n, unnest(range(1, least(length(run), 7) + 1)) AS k FROM runs)) GROUP BY gram),
@@ -478,7 +479,8 @@ words AS MATERIALIZED (SELECT word, n, CAST(round(ln(n / (SELECT sum(n) FROM lis
 
 
 def _han(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.translate(F.regexp_replace(F.lower("text"), " ([a-p])", "$1"), _LATIN, _HAN)
+    text = F.regexp_replace(F.regexp_replace(F.lower("text"), " ([a-p])", "$1"), "([a-z]{40})", "$1。")
+    text = F.translate(text, _LATIN, _HAN)
     return table(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text"))
 
 
