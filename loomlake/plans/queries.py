@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import text as X
 from loomlake.operators import bm25, chunking, fusion, ingest, memory, prompts, segment, terms, vectors
+from loomlake.operators.pruned import BlockIndex
 from loomlake.plans.retrieve import retrieve
 from loomlake.plans.stores import Cache, Conversations
 
@@ -66,6 +67,14 @@ def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.bm25_top(bm25.index_for(docs, asked), asked, 10)
 
 
+@query(SQL["bm25_top10"])
+def bm25_pruned_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored blocks, of which those that cannot change the result are skipped."""
+    index = BlockIndex(spark, store_path(spark, "blocks"))
+    index.build(table(spark, sf_dir, "documents"))
+    return index.top(_asked(spark, sf_dir), 10)
+
+
 @query(f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens, md5(array_to_string({_TOKENS}, ' ')) AS tokens_md5 FROM documents")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", X.tokens("text").alias("t"))

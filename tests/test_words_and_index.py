@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import text as X
 from loomlake.operators import bm25, segment, terms
+from loomlake.operators.pruned import BlockIndex
 from loomlake.plans import snapshots
 from loomlake.plans.knowledge_base import KnowledgeBase
 from loomlake.plans.snapshots import Snapshots
@@ -193,3 +194,23 @@ def test_two_writers_after_one_version(spark, tmp_path):
         store.commit([part], 0)
     assert store.read("t", "id long").count() == 3 and store.read("other", "id long").count() == 0
     assert store.commit([], 1) == 2 and store.parts() == [] and store.parts(1) == [part]
+
+
+def test_pruned_top_equals_all_and_skips_blocks(spark, tmp_path):
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(20)], [f"r{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choices(common, k=rng.randint(1, 60)) + rng.choices(rare, k=rng.randint(0, 3)))) for i in range(6000)] + [(7000, None), (7001, "")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    asked = [(1, "c1 c2 r5 r6"), (2, "r7"), (3, "c3"), (4, "unknown"), (5, ""), (6, "c1 c2 c3 c4 c5 r1 r2 r3"), (7, "r8 r8 c1"), (8, None)]
+    asked = spark.createDataFrame(asked, "query_id long, text string")
+    index = BlockIndex(spark, str(tmp_path / "blocks"))
+    index.build(docs)
+    plain = bm25.build_index(docs)
+    key = lambda rows: sorted(map(repr, map(tuple, rows.collect())))
+    for k in (1, 10, 200):
+        assert key(index.top(asked, k)) == key(bm25.bm25_top(plain, asked, k))
+    read = {r.query_id: (r.blocks_read / r.blocks, r.postings_read / r.postings) for r in index.report(asked, 3).collect()}
+    assert set(read) == {1, 2, 3, 6, 7} and read[2] == (1.0, 1.0)
+    assert read[1][1] < 0.2 and read[7][1] < 0.2 and read[6][1] < 0.6
+    index.build(docs.where("false"))
+    assert index.top(asked).collect() == []
