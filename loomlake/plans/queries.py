@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import text as X
 from loomlake.operators import bm25, chunking, fusion, ingest, memory, prompts, segment, terms, vectors
+from loomlake.operators.ivf import LISTS, PROBES, InvertedFile
 from loomlake.operators.pruned import BlockIndex
 from loomlake.plans.retrieve import retrieve
 from loomlake.plans.stores import Cache, Conversations
@@ -116,6 +117,25 @@ def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, "cosine")
 
 
+def _lists(spark: SparkSession, sf_dir: str, probes: int) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    index = InvertedFile(spark, store_path(spark, "lists"))
+    index.build(rows)
+    return index.nearest(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, probes)
+
+
+@query(SQL["vector_topk_l2"])
+def vector_lists_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file when all lists are searched."""
+    return _lists(spark, sf_dir, LISTS)
+
+
+@query()
+def vector_lists_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file as it is meant, with a share of the lists; a test holds its recall."""
+    return _lists(spark, sf_dir, PROBES)
+
+
 _HYBRID = f"""{_BM25}, l2 AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score, doc) AS rank FROM ({_L2})),
 routes AS (
   SELECT query_id, doc, 0 AS route, rank FROM l2 WHERE rank <= 10
