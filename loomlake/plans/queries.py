@@ -136,7 +136,9 @@ def vector_lists_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir, PROBES)
 
 
-_HYBRID = f"""{_BM25}, l2 AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score, doc) AS rank FROM ({_L2})),
+# the vector of an item is the one with its number
+_L2_ITEMS = _L2.replace("FROM embeddings WHERE vec_id % 100 = 0", "FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)")
+_HYBRID = f"""{_BM25}, l2 AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score, doc) AS rank FROM ({_L2_ITEMS})),
 routes AS (
   SELECT query_id, doc, 0 AS route, rank FROM l2 WHERE rank <= 10
   UNION ALL SELECT query_id, doc, 1, rank FROM bm WHERE rank <= 10 AND score > 0),
@@ -146,8 +148,9 @@ fused AS (SELECT query_id, text_key, score, row_number() OVER (PARTITION BY quer
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    near = _near(spark, sf_dir, "l2").select("query_id", "doc", F.lit(0).alias("route"), "rank")
+    docs, rows = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    of_items = rows.select(F.col("vec_id").alias("query_id"), "embedding").join(_asked(spark, sf_dir).select("query_id"), "query_id", "left_semi")
+    near = vectors.nearest(rows, of_items, 10).select("query_id", "doc", F.lit(0).alias("route"), "rank")
     lexical = bm25_top10(spark, sf_dir).select("query_id", "doc", F.lit(1).alias("route"), "rank")
     keys = docs.select(F.col("doc_id").alias("doc"), X.text_key("text").alias("text_key"))
     return near.union(lexical).join(keys, "doc")
@@ -158,28 +161,6 @@ def rrf_two_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rrf(_routes(spark, sf_dir), ["query_id"])
 
 
-# the second variant of a query: its first three tokens, again in the lexical route
-_AGAIN = _SCORE.replace("JOIN ask USING", "JOIN ask2 USING").replace("scored AS", "scored2 AS")
-_SECOND = f"""ask2 AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}[1:3]) AS term FROM benchmark), {_AGAIN},
-second AS (SELECT query_id, md5(text) AS text_key, 1 AS route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM scored2 JOIN documents ON doc_id = doc WHERE score > 0 QUALIFY rank <= 10),
-summed2 AS (SELECT query_id, text_key, round(sum(1 / (60e0 + rank)), 9) AS score, min((route, rank)) AS seen FROM second GROUP BY ALL)"""
-
-
-@query(f"""WITH {_HYBRID}, {_SECOND}, variants AS (
-  SELECT query_id, text_key, 0 AS route, rank FROM fused
-  UNION ALL SELECT query_id, text_key, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, text_key) FROM summed2),
-outer_sum AS (SELECT query_id, text_key, round(sum(1 / (60e0 + rank)), 9) AS score, min((route, rank)) AS seen FROM variants GROUP BY ALL)
-SELECT query_id, text_key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, text_key) AS INTEGER) AS rank FROM outer_sum""")
-def rrf_double(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fusion of the routes of each variant of a query, and then of the variants."""
-    docs = table(spark, sf_dir, "documents")
-    asked = _asked(spark, sf_dir).select("query_id", F.array_join(F.slice(X.tokens("text"), 1, 3), " ").alias("text"))
-    keys = docs.select(F.col("doc_id").alias("doc"), X.text_key("text").alias("text_key"))
-    second = bm25.bm25_top(bm25.index_for(docs, asked), asked, 10).select("query_id", "doc", F.lit(1).alias("route"), "rank").join(keys, "doc")
-    both = rrf_two_route(spark, sf_dir).withColumn("route", F.lit(0)).unionByName(fusion.rrf(second, ["query_id"]).withColumn("route", F.lit(1)))
-    return fusion.rrf(both.select("query_id", "text_key", "route", "rank"), ["query_id"])
-
-
 @query(f"""WITH {_HYBRID}, c AS (SELECT f.query_id, f.text_key, any_value(f.rank) AS rank, any_value(d.text) AS text FROM fused f JOIN documents d ON md5(d.text) = f.text_key WHERE f.rank <= 10 GROUP BY ALL),
 s AS (SELECT c.*, len(list_intersect(list_distinct({_TOKENS.replace("text", "b.text")}), {_TOKENS.replace("text", "c.text")})) / greatest(len(list_distinct({_TOKENS.replace("text", "b.text")})), 1) AS relevance FROM c JOIN benchmark b ON item_id = query_id)
 SELECT query_id, text_key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""".replace("QUALIFY rank <= 3", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, s.rank) <= 3"))
@@ -736,6 +717,28 @@ h AS (SELECT query_id, qpos, term, row_number() OVER (PARTITION BY query_id, qpo
   WHERE length(token) >= 2 AND token NOT IN (SELECT term FROM dict) QUALIFY nth <= 3),
 m AS (SELECT query_id, string_agg(term, ' ' ORDER BY place, term) AS more FROM (SELECT query_id, term, min((qpos, nth)) AS place FROM h GROUP BY ALL) GROUP BY query_id),
 vars AS (SELECT 2 * query_id AS vid, text FROM q UNION ALL SELECT 2 * q.query_id + 1, concat_ws(' ', text, more) FROM q JOIN m ON m.query_id = q.query_id)"""
+# the second variant of a query: what it is rewritten to, in the lexical route
+_AGAIN = _SCORE.replace("JOIN ask USING", "JOIN ask2 USING").replace("scored AS", "scored2 AS")
+_SECOND = f"""ask2 AS (SELECT DISTINCT vid // 2 AS query_id, unnest({_TOKENS}) AS term FROM vars WHERE vid % 2 = 1), {_AGAIN},
+second AS (SELECT query_id, md5(text) AS text_key, 1 AS route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM scored2 JOIN documents ON doc_id = doc WHERE score > 0 QUALIFY rank <= 10),
+summed2 AS (SELECT query_id, text_key, round(sum(1 / (60e0 + rank)), 9) AS score, min((route, rank)) AS seen FROM second GROUP BY ALL)"""
+
+
+@query(f"""WITH {_VARIANTS}, {_HYBRID}, {_SECOND}, variants AS (
+  SELECT query_id, text_key, 0 AS route, rank FROM fused
+  UNION ALL SELECT query_id, text_key, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, text_key) FROM summed2),
+outer_sum AS (SELECT query_id, text_key, round(sum(1 / (60e0 + rank)), 9) AS score, min((route, rank)) AS seen FROM variants GROUP BY ALL)
+SELECT query_id, text_key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, text_key) AS INTEGER) AS rank FROM outer_sum""")
+def rrf_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion of the routes of each variant of a query, and then of the variants."""
+    docs = table(spark, sf_dir, "documents")
+    asked = terms.rewrite(_asked(spark, sf_dir).withColumnRenamed("text", "query"), all_terms(spark, sf_dir)).where("rewritten <> query").select("query_id", F.col("rewritten").alias("text"))
+    keys = docs.select(F.col("doc_id").alias("doc"), X.text_key("text").alias("text_key"))
+    second = bm25.bm25_top(bm25.index_for(docs, asked), asked, 10).select("query_id", "doc", F.lit(1).alias("route"), "rank").join(keys, "doc")
+    both = rrf_two_route(spark, sf_dir).withColumn("route", F.lit(0)).unionByName(fusion.rrf(second, ["query_id"]).withColumn("route", F.lit(1)))
+    return fusion.rrf(both.select("query_id", "text_key", "route", "rank"), ["query_id"])
+
+
 _EMBED = "SELECT id, dim, c / greatest(1, sqrt(sum(c * c) OVER (PARTITION BY id))) AS x FROM (SELECT id, ascii(unhex(left(md5(term), 2))) AS dim, CAST(count(*) AS DOUBLE) AS c FROM ({}) GROUP BY ALL)"
 _EMBED = _EMBED.replace("ascii(unhex(left(md5(term), 2)))", "CAST('0x' || left(md5(term), 2) AS INTEGER)")
 _ASK_V = f"vt AS (SELECT vid AS query_id, unnest({_TOKENS}) AS term FROM vars), ask AS (SELECT DISTINCT query_id, term FROM vt)"

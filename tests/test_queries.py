@@ -2,6 +2,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from loomlake.plans import queries
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,3 +34,9 @@ def test_all_questions_are_answered(spark, duck):
     asked = {r[0] for r in duck.execute("SELECT item_id FROM benchmark").fetchall()}
     got = entry.queries()["qa_end_to_end"](spark, SF).collect()
     assert len(asked) > 5 and sorted(r.query_id for r in got) == sorted(asked) and all(1 <= r.n_docs <= 3 for r in got)
+
+
+def test_fusion_has_two_routes_for_every_item(spark, duck):
+    asked = {r[0] for r in duck.execute("SELECT item_id FROM benchmark").fetchall()}
+    routes = queries._routes(spark, SF).groupBy("query_id").agg(F.countDistinct("route").alias("n")).collect()
+    assert {r.query_id for r in routes} == asked and all(r.n == 2 for r in routes)
