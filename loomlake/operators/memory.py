@@ -62,10 +62,17 @@ def merge_records(first: DataFrame, later: DataFrame, n: int = WINDOW_TURNS) ->
 
 def append_turns(turns: DataFrame, new: DataFrame) -> DataFrame:
     """turns (session_id, turn, timestamp, query, answer) and new ones, numbered on in order of time."""
-    last = turns.groupBy("session_id").agg(F.max("turn").alias("last"))
+    return turns.unionByName(numbered_turns(turns.groupBy("session_id").agg(F.max("turn").alias("turn")), new))
+
+
+def numbered_turns(last: DataFrame, new: DataFrame) -> DataFrame:
+    """New turns (session_id, timestamp, query, ...) with their turn, from the last one (session_id, turn) of their session on.
+
+    They are numbered in order of time, those without a timestamp first.
+    """
     nth = F.row_number().over(Window.partitionBy("session_id").orderBy("timestamp", "query"))
-    rows = new.join(last, "session_id", "left").withColumn("turn", (F.coalesce("last", F.lit(0)) + nth).cast("int")).drop("last")
-    return turns.unionByName(rows)
+    rows = new.join(last.select("session_id", F.col("turn").alias("last")), "session_id", "left")
+    return rows.withColumn("turn", (F.coalesce("last", F.lit(0)) + nth).cast("int")).drop("last")
 
 
 def cache_lookup(writes: DataFrame, now: Column, ttl_seconds: int, key: str = "key", at: str = "written_at") -> DataFrame:
