@@ -108,12 +108,19 @@ class KnowledgeBase:
     def ingest(self, files: DataFrame, operator: str = "", describe: Callable[[Column, Column], Column] | None = None) -> DataFrame:
         """`upload` of files (source, content, md5, ext). Only files that the ledger does not hold are parsed, and once.
 
-        describe(name, bytes) gives the text of an image; without it chunks have the names of their images alone.
+        describe(name, bytes) gives the text of an image; without it chunks have the names of their images alone. A file that
+        can't be parsed has a row with what is wrong as its msg; what the store holds of its source stays, and the next
+        upload tries it again.
         """
         version = self.store.version()
         parts = self.store.parts(version)
         ledger, existing = self._table("ledger", parts), self._table("chunks", parts)
         fresh = ingest.new_files(files, ledger)
+        failed = f"{self.path}/staged/{uuid.uuid4().hex}"
+        readers.broken_files(fresh).write.parquet(failed)
+        broken = self.spark.read.schema("source string, md5 string, error string").parquet(failed)
+        if not broken.isEmpty():
+            fresh = fresh.join(broken.select("source", "md5").distinct(), ["source", "md5"], "left_anti")
         parsed, stats = (f"{self.path}/{name}/{uuid.uuid4().hex}" for name in ("staged", "stats"))
         self.parse(fresh).write.parquet(parsed)
         new = self.spark.read.parquet(parsed)
@@ -121,8 +128,10 @@ class KnowledgeBase:
         # a known file has the count of chunks that the ledger keeps of it
         known = files.select("source", "md5").join(ledger.groupBy("md5").agg(F.max("total").alias("total")), "md5")
         known = known.select("source", "total", F.lit(0).cast("long").alias("inserted"), F.col("total").alias("skipped"), F.lit(0).cast("long").alias("deleted"), F.lit(ingest.KNOWN).alias("msg"))
-        counted.unionByName(known).write.parquet(stats)
-        totals = self.spark.read.schema(STATS).parquet(stats).select("source", "total")
+        none = F.lit(0).cast("long")
+        wrong = broken.select("source", *[none.alias(c) for c in ("total", "inserted", "skipped", "deleted")], F.col("error").alias("msg"))
+        counted.unionByName(known).unionByName(wrong).write.parquet(stats)
+        totals = counted.select("source", "total")
         new = ingest.not_blank(new)
         if describe is not None:
             known = readers.docx_images(fresh)

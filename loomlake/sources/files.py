@@ -131,6 +131,13 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
                 yield sheet.get("name"), int(row.get("r", 0)), cells
 
 
+def new_sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
+    """`sheet_rows`; the older .xls format is refused."""
+    if content[:4] == b"\xd0\xcf\x11\xe0":
+        raise ValueError("the older .xls format is not supported: save it as .xlsx")
+    yield from sheet_rows(content)
+
+
 def _cell(c: ElementTree.Element, shared: list[str], is_date: list[bool]) -> str:
     kind, v = c.get("t", "n"), c.findtext(f"{_S}v")
     if kind == "inlineStr":
@@ -168,6 +175,27 @@ def _exploded(files: DataFrame, exts: tuple[str, ...], rows_of, kind: str, schem
     return files.where(F.col("ext").isin(*exts)).select("source", "content").mapInArrow(parse, kind)
 
 
+def broken_files(files: DataFrame) -> DataFrame:
+    """(source, md5, error) of the Word and sheet files that can't be parsed; each is tried in its task, and no other fails with it."""
+    parsers = {".docx": (word_blocks, word_images), ".xlsx": (new_sheet_rows,), ".xls": (new_sheet_rows,)}
+    schema = pa.schema([("source", pa.string()), ("md5", pa.string()), ("error", pa.string())])
+
+    def attempt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for source, md5, ext, content in zip(*[b.column(c).to_pylist() for c in ("source", "md5", "ext", "content")], strict=True):
+                try:
+                    for parser in parsers[ext]:
+                        for _ in parser(content or b""):
+                            pass
+                except Exception as e:  # whatever is wrong with a file is said in its row
+                    found.append((source, md5, f"{source}: {type(e).__name__}: {e}"[:500]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], schema=schema)
+
+    return files.where(F.col("ext").isin(*parsers)).select("source", "md5", "ext", "content").mapInArrow(attempt, "source string, md5 string, error string")
+
+
 def docx_blocks(files: DataFrame) -> DataFrame:
     """(source, block_no, kind, text, images, cells) of Word files; a table's text is its Markdown."""
     schema = pa.schema([("source", pa.string()), ("block_no", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("images", pa.list_(pa.string())), ("cells", pa.list_(pa.list_(pa.string())))])
@@ -186,14 +214,8 @@ def docx_images(files: DataFrame) -> DataFrame:
 
 def xlsx_rows(files: DataFrame) -> DataFrame:
     """(source, nth, sheet_name, row_no, cells) of sheet files; the older .xls format is refused."""
-
-    def rows(content: bytes):
-        if content[:4] == b"\xd0\xcf\x11\xe0":
-            raise ValueError("the older .xls format is not supported: save it as .xlsx")
-        return sheet_rows(content)
-
     schema = pa.schema([("source", pa.string()), ("nth", pa.int32()), ("sheet_name", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))])
-    return _exploded(files, (".xlsx", ".xls"), rows, "source string, nth int, sheet_name string, row_no int, cells array<string>", schema)
+    return _exploded(files, (".xlsx", ".xls"), new_sheet_rows, "source string, nth int, sheet_name string, row_no int, cells array<string>", schema)
 
 
 def pdf_pages(files: DataFrame) -> DataFrame:

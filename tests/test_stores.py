@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.plans import snapshots, stores
+from loomlake.plans.knowledge_base import KnowledgeBase
 from loomlake.plans.snapshots import Snapshots
 from loomlake.plans.stores import Cache, Conversations
+from loomlake.streaming import streams
+from test_operators import _docx
 
 NEW = "session_id string, timestamp string, query string, answer string, context string"
 AT = "2024-01-01 00:00:00"
@@ -75,3 +78,26 @@ def test_cache_lookups_read_few_files(spark, tmp_path, monkeypatch):
     for _ in range(3):  # until hidden entries are merged away
         cache.put(spark.createDataFrame([("x:1", "x")], "key string, payload string").withColumn("written_at", at), 100)
     assert cache.load().where("key LIKE 'answer:%'").count() == 1 and cache.load().count() == 1 + 200 + 1
+
+
+def test_one_broken_file_fails_alone(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(20):
+        (src / f"f{k}.txt").write_text(f"text number {k}")
+    (src / "ok.docx").write_bytes(_docx())
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    kb.upload(str(src))
+    (src / "ok.docx").write_bytes(_docx()[:200])  # cut off
+    (src / "bad.xlsx").write_bytes(b"no archive")
+    (src / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0 older")
+    (src / "f1.txt").write_text("changed")
+    stats = {r.source: r for r in kb.upload(str(src)).collect()}
+    assert (stats["f1.txt"].inserted, stats["f1.txt"].deleted) == (1, 1) and stats["f0.txt"].skipped == 1
+    assert "BadZipFile" in stats["bad.xlsx"].msg and "older .xls" in stats["old.xls"].msg and "BadZipFile" in stats["ok.docx"].msg
+    sources = {r.source for r in kb.sources().collect()}
+    assert sources == {f"f{k}.txt" for k in range(20)} | {"ok.docx"}  # what was there of it stays
+    assert kb.ledger().count() == 22
+    (src / "bad.xlsx").unlink()
+    streams.feed(kb, str(src), str(tmp_path / "cp")).awaitTermination(120)  # a stream goes on, too
+    assert kb.sources().count() == 21
