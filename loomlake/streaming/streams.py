@@ -53,6 +53,35 @@ def last_turns_stream(turns: DataFrame, n: int = 5) -> DataFrame:
     return turns.groupBy("session_id").applyInPandasWithState(keep, "session_id string, turns array<string>", kept, "update", GroupStateTimeout.NoTimeout)
 
 
+def expiring_turns_stream(turns: DataFrame, n: int = 5, ttl_seconds: int = 86_400) -> DataFrame:
+    """`last_turns_stream` that forgets a session after ttl_seconds without a turn; each turn renews it.
+
+    A timer removes the state of idle sessions at the next batch; a turn that arrives in that very batch begins the session
+    anew, too, since the state knows when it was renewed. Turns without a timestamp count as the earliest. State and times
+    are kept in the checkpoint. Timers ask for one empty batch after the other: a stream that shall end when all has been
+    read (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled=false.
+    """
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        own = []
+        if state.exists:
+            *kept, renewed = state.get
+            own = list(zip(*kept, strict=True)) if now - renewed < 1000 * ttl_seconds else []
+        for b in batches:
+            own += list(zip(*[b[c].where(b[c].notna(), None) for c in ("timestamp", "query", "answer")], strict=True))
+        own = sorted(own, key=lambda t: tuple((x is not None, x or "") for x in t))[-n:]
+        state.update((*map(list, zip(*own, strict=True)), now))
+        state.setTimeoutDuration(1000 * ttl_seconds)
+        yield pd.DataFrame({"session_id": [key[0]], "turns": [[f"{q or ''}\n{a or ''}" for _, q, a in own]]})
+
+    kept = "timestamp array<string>, query array<string>, answer array<string>, renewed long"
+    return turns.groupBy("session_id").applyInPandasWithState(keep, "session_id string, turns array<string>", kept, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def term_counts(stream: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, tf) of a stream of documents, kept up to date."""
     return stream.select(F.explode(tokens(text_col)).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
