@@ -2,8 +2,8 @@
 
 A value after a word such as `password` is segmented by dynamic programming into words, dates, repeats, keyboard walks
 and brute-force spans so that the guesses of all segments are fewest; a value that still takes at least MIN_GUESSES is a
-secret, while `password: changeme` is not. Words are those of passwords and placeholders, and then the words of the corpus
-in order of the documents that hold them, in whatever languages it has.
+secret, while `password: changeme` is not. Words are those of passwords and placeholders, and then the frequent words of the
+corpus, in whatever languages it has, as far as they stand outside of values and after several different words.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ from loomlake.llm.common import slices
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value is a secret.
 MIN_GUESSES = 8.0
-#: Words of the corpus in the dictionary, of so many letters, which so many documents hold at least.
-CORPUS_WORDS, LETTERS, MIN_DOCS = 30_000, (3, 24), 5
+#: Characters of a value at least.
+MIN_VALUE = 6
+#: Words of the corpus in the dictionary at most (all workers have it), and their letters.
+CORPUS_WORDS, LETTERS = 30_000, (3, 24)
+#: Words of the corpus stand after so many different words at least; copies of a text add none.
+MIN_BEFORE = 5
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}", re.ASCII)
@@ -33,10 +37,20 @@ _HEX = re.compile(r"[0-9a-f]{32,}", re.ASCII)
 _WORD = re.compile(r"(?:password|passwd|pwd|passphrase|passcode|secret|token|credential|api[_-]?key|auth[_-]?key|private[_-]?key)s?", re.ASCII | re.IGNORECASE)
 #: The rest of a name, as in password_hash, and what may stand between a name and its value.
 _NAME = re.compile(r"[A-Za-z0-9_-]*", re.ASCII)
-_SEP = re.compile(r"""["'`]?(?:[\x20\t]+(?:is|was))?[\x20\t]*[:=][\x20\t]*["'`]?""", re.ASCII | re.IGNORECASE)
-_IS = re.compile(r"""["']?[\x20\t]+(?:is|was)[\x20\t]+["'`]?""", re.ASCII | re.IGNORECASE)
-_GAP = re.compile(r"""["']?[\x20\t]*["'`]?""", re.ASCII)
-_VALUE = re.compile(r"[!-&(-_a-~]*", re.ASCII)
+_SEP = re.compile(r"""(?:\\?["'`])?(?:[\x20\t]+(?:is|was))?[\x20\t]*[:=][\x20\t]*(\\?["'`])?""", re.ASCII | re.IGNORECASE)
+_IS = re.compile(r"""["']?[\x20\t]+(?:is|was)[\x20\t]+(\\?["'`])?""", re.ASCII | re.IGNORECASE)
+_GAP = re.compile(r"""["']?[\x20\t]*(\\?["'`])?""", re.ASCII)
+#: A value by the quote before it: up to that quote, or else up to any quote, a semicolon, or a comma or & before the next name.
+_VALUES = {
+    None: re.compile(r"(?:[!#-%(-+\--:<-_a-~]|[,&](?![A-Za-z0-9_-]+[:=]))*", re.ASCII),
+    '"': re.compile(r"[!#-~]*", re.ASCII),
+    "'": re.compile(r"[!-&(-~]*", re.ASCII),
+    "`": re.compile(r"[!-_a-~]*", re.ASCII),
+    "\\": re.compile(r"""(?:[!#-&(-\[\]-_a-~]|\\(?!["'`]))*""", re.ASCII),
+}
+#: Both for Java, in lower case: a credential word with what follows up to its value, and a value after the mark of such words.
+_CONTEXT = r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|(?:api|auth|private)[_-]?key)[a-z0-9_-]*+["'`\\]*+(?:\s+(?:is|was)(?=\s))?[\s:="'`\\]*+"""
+_MARKED = "\x01++[^\\s\x01]*+"
 #: No match of a context or an assignment without one of these.
 _HINT = re.compile(r"pass|pwd|secret|token|cred|key", re.ASCII | re.IGNORECASE)
 _DATES = tuple(
@@ -178,17 +192,17 @@ def _guesses(text: str, base: list[tuple[int, int]], words: Dictionary) -> list[
     """Spans of values after credential words, outside the spans of base (sorted) and of each other.
 
     Every word is looked at, also one that stands where the value of another is sought. After a separator all values
-    count; without one, a value must not look like prose.
+    count; without one, a value must not look like prose. A value holds no white space and has MIN_VALUE characters.
     """
     starts, reach = [a for a, _ in base], list(itertools.accumulate((b for _, b in base), max))
-    names, values = _Runs(_NAME, text), _Runs(_VALUE, text)
+    names, values = _Runs(_NAME, text), {quote: _Runs(pattern, text) for quote, pattern in _VALUES.items()}
     out: list[tuple[int, int]] = []
     dull = -1  # end of a run that holds no value of two classes any more
 
-    def add(s: int, e: int, parted: bool) -> None:
+    def add(s: int, e: int, parted: bool, quoted: bool = False) -> None:
         nonlocal dull
         i = bisect.bisect_left(starts, e)
-        if e - s < 6 or i and reach[i - 1] > s or out and out[-1][1] > s:
+        if e - s < MIN_VALUE or i and reach[i - 1] > s or out and out[-1][1] > s:
             return
         if not parted:
             if e == dull:
@@ -196,10 +210,17 @@ def _guesses(text: str, base: list[tuple[int, int]], words: Dictionary) -> list[
             if not _is_value(text[s:e]):
                 dull = e
                 return
-        e -= e - s - len(text[s:e].rstrip(".,;:!?)\"'"))
-        if e - s >= 6 and (parted or _is_value(text[s:e])) and guess_cost(text[s:e], MIN_GUESSES, words) >= MIN_GUESSES:
+        if not quoted:
+            e -= e - s - len(text[s:e].rstrip(".,;:!?)\"'"))
+        if e - s >= MIN_VALUE and (parted or _is_value(text[s:e])) and guess_cost(text[s:e], MIN_GUESSES, words) >= MIN_GUESSES:
             out.append((s, e))
 
+    def follow(before: re.Match, parted: bool) -> None:
+        """The value that follows a match whose group is the quote that opens it, if any."""
+        quote = before[1] and before[1][0]
+        end = values[quote].end(before.end())
+        add(before.end(), end, parted, bool(quote) and text.startswith(before[1], end))
+
     def parted(at: int) -> re.Match | None:
         """What parts a name that may go on here from its value."""
         return _SEP.match(text, names.end(at))
@@ -210,14 +231,14 @@ def _guesses(text: str, base: list[tuple[int, int]], words: Dictionary) -> list[
         if sep := parted(at):
             if any(c.isdigit() for c in text[at:name]):
                 add(at, name, False)
-            add(sep.end(), values.end(sep.end()), True)
+            follow(sep, True)
         elif said := _IS.match(text, name):
-            add(said.end(), values.end(said.end()), False)
+            follow(said, False)
         else:
-            s = _GAP.match(text, at).end()
-            following = _WORD.match(text, s)
+            gap = _GAP.match(text, at)
+            following = _WORD.match(text, gap.end())
             if not (following and parted(following.end())):
-                add(s, values.end(s), False)
+                follow(gap, False)
     return out
 
 
@@ -230,15 +251,21 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text") -> Dictionary:
-    """The dictionary of a corpus: its CORPUS_WORDS most frequent words, counted over all whole texts, ties by the word.
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> Dictionary:
+    """The dictionary of a corpus: its `most` most frequent words, counted over all whole texts, ties by the word.
 
-    A word counts once for each document; what stands in less than MIN_DOCS of them is no word. Nulls and empty texts have
-    none. No more than CORPUS_WORDS rows reach the driver.
+    What follows a credential word is not counted, and a word must stand after MIN_BEFORE different words (told apart by 6
+    bits of hash), so that neither a secret that is repeated nor copies of a text make a word. Nulls and empty texts have
+    none. No more than `most` rows reach the driver.
     """
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")
-    counts = docs.select(word).where(F.length("word").between(*LETTERS)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
-    return Dictionary([r.word for r in counts.orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()])
+    low = F.lower(F.col(text_col).cast("string"))
+    outside = F.when(low.rlike(_HINT.pattern), F.regexp_replace(F.regexp_replace(low, _CONTEXT, "\x01"), _MARKED, " ; ")).otherwise(low)
+    lists = docs.select(F.regexp_extract_all(outside, F.lit(r"\p{L}+"), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    pairs = lists.select(F.explode(F.arrays_zip("words", F.concat(F.array(F.lit("")), F.slice("words", F.lit(1), F.size("words") - 1)).alias("before"))).alias("x"))
+    before = F.expr("shiftleft(1L, cast(pmod(xxhash64(x.before), 64L) AS int))")
+    counts = pairs.select(F.col("x.words").alias("word"), before.alias("before")).where(F.length("word").between(*LETTERS))
+    counts = counts.groupBy("word").agg(F.count("*").alias("n"), F.bit_or("before").alias("before")).where(F.bit_count("before") >= MIN_BEFORE)
+    return Dictionary([r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()])
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Dictionary | None = None) -> DataFrame:

@@ -132,7 +132,8 @@ def test_guess_costs_are_least():
 
 
 def test_words_of_the_corpus_are_no_secrets(spark):
-    docs = spark.createDataFrame([(i, "Der Sonnenschein über strawberry") for i in range(6)] + [(7, "seltenwort"), (8, None), (9, "")], "doc_id long, text string")
+    texts = [f"Der {x} Sonnenschein {x} über strawberry" for x in "rote warme helle neue alte letzte erste".split()]
+    docs = spark.createDataFrame([*enumerate(texts), (7, "seltenwort"), (8, None), (9, "")], "doc_id long, text string")
     words = secrets.corpus_words(docs)
     assert "sonnenschein" in words.cost and "über" in words.cost and "seltenwort" not in words.cost
     find = lambda t, w: [t[s:e] for s, e, k in secrets.find_secrets(t, w) if k == "guess"]
@@ -140,6 +141,60 @@ def test_words_of_the_corpus_are_no_secrets(spark):
     assert secrets.redact(docs.limit(0)).count() == 0 and secrets.secret_spans(docs.limit(0)).count() == 0
 
 
+def guessed(text, words=secrets.DICTIONARY):
+    return [text[s:e] for s, e, k in secrets.find_secrets(text, words) if k == "guess"]
+
+
+def test_secrets_that_repeat_are_no_words(spark):
+    near = [f"Config of host{chr(97 + i)} pwd: qzvkxwjhpfgm done" for i in range(12)] + [f"{x} secret password = qzvkxwjhpfgm" for x in "one two three four five six seven".split()]
+    copies = ["log in with vbqhtkzrwy and go"] * 40 + [f"log in with vbqhtkzrwy and go {i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*near, *copies, "password password is " * 20_000, "password" * 20_000])), "doc_id long, text string")
+    words = secrets.corpus_words(docs)
+    assert not {"qzvkxwjhpfgm", "vbqhtkzrwy"} & set(words.cost)
+    got = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
+    assert all(got[i].n_guess + got[i].n_assign == 1 for i in range(len(near))) and guessed("pwd: vbqhtkzrwy", words) == ["vbqhtkzrwy"]
+    assert secrets.corpus_words(docs, most=1).cost.keys() - secrets.DICTIONARY.cost.keys() <= words.cost.keys()
+    assert secrets.corpus_words(docs.limit(0)).cost == secrets.DICTIONARY.cost
+
+
+def test_values_end_where_they_are_closed():
+    cases = {
+        '{"password":"Xk9#mP2q!z","user":"bob","email":"x@y.z"}': ["Xk9#mP2q!z"],
+        '{"pwd":"cat","user":"bartholomew","email":"x@y.z"}': [],
+        "pwd: Xk9#mP2q;name=bartholomew": ["Xk9#mP2q"],
+        "pwd=Xk9#mP,2q,user=bartholomew": ["Xk9#mP,2q"],
+        "u?pwd=Xk9#mP&2q&user=bartholomew": ["Xk9#mP&2q"],
+        "{'pwd': 'Xk9\"mP;2q!'}": ['Xk9"mP;2q!'],
+        '{\\"pwd\\":\\"Xk9#mP2q\\",\\"user\\":\\"bob\\"}': ["Xk9#mP2q"],
+        "the passphrase is `Xk9#m'P2q`.": ["Xk9#m'P2q"],
+        'pwd: "Xk9#m P2q"': [],  # no white space in values, and six characters
+        'pwd: "Xk9#mP2q': ["Xk9#mP2q"],
+        '"pwd","username","email"': [],
+    }
+    for text, want in cases.items():
+        assert guessed(text) == want, text
+    assert guessed("pwd: " + "Xk9,mP;" * 50_000) == ["Xk9,mP"] and len(guessed('pwd: "' + ",a=" * 50_000)) == 1
+
+
+def test_planted_secrets_are_found():
+    rng = random.Random(9)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789#!@%^*+~?"
+    strong = lambda: "".join(rng.choice(chars) for _ in range(rng.randint(9, 16))) + "q7"
+    phrase = lambda: "-".join(rng.sample(secrets.WORDS, 6))
+    weak = lambda: rng.choice([rng.choice("changeme letmein password example dummy optional".split()) + rng.choice(["", "1", "12", "!"]), "qwertyuiop", "aaaaaaaaaa", "20240131", "abcabcabc"])
+    frames = ['{{"pwd":"{}","user":"bartholomew"}}', "the passphrase is {} and more", "export DB_PASSCODE='{}'", "pwd: {}\nnext line", "credential = `{}`;", "user=bob;pwd={};name=christopher"]
+    prose = ["passwords should be kept", "the secret garden is beautiful", "a token of appreciation", "credentials were issued yesterday", "she told the secret, then left"]
+    found = false = 0
+    for i in range(500):
+        planted = i < 300
+        if planted:
+            value = strong() if i % 3 else phrase()
+            found += guessed(frames[i % 6].format(value)) == [value]
+        else:
+            false += guessed(frames[i % 6].format(weak()) if i % 2 else prose[i % 5]) != []
+    assert found >= 0.95 * 300 and false <= 2
+
+
 def test_letters_and_ties_of_languages(spark):
     docs = spark.createDataFrame([(i, t, x, "mine", "mine") for i, (t, x) in enumerate([("der hund und die katze " * 20, "de"), ("the dog and the cat " * 30, "en")])], "doc_id long, text string, lang string, score string, lang_pred string")
     model = languages.learn(docs)
