@@ -172,6 +172,27 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rerank(rows, ["query_id"], relevance=fusion.overlap_score(F.col("query"), F.col("text"))).select("query_id", "text_key", "rank")
 
 
+@query(f"""WITH {_HYBRID}, cand AS (SELECT f.query_id, f.text_key, any_value(f.rank) AS rank, any_value({_TOKENS.replace("text", "d.text")}) AS toks, any_value(list_distinct({_TOKENS.replace("text", "b.text")})) AS asked
+  FROM fused f JOIN documents d ON md5(d.text) = f.text_key JOIN benchmark b ON item_id = query_id WHERE f.rank <= 10 GROUP BY f.query_id, f.text_key),
+cand_places AS (SELECT query_id, text_key, term, pos FROM (SELECT query_id, text_key, asked, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM cand) WHERE list_contains(asked, term)),
+terms_held AS (SELECT query_id, text_key, count(DISTINCT term) AS n_terms FROM cand_places GROUP BY ALL),
+latest AS (SELECT e.query_id, e.text_key, e.pos, s.term, max(s.pos) AS last FROM cand_places e JOIN cand_places s ON s.query_id = e.query_id AND s.text_key = e.text_key AND s.pos <= e.pos GROUP BY ALL),
+spans AS (SELECT query_id, text_key, pos - min(last) + 1 AS width, count(*) AS n FROM latest GROUP BY query_id, text_key, pos),
+widths AS (SELECT query_id, text_key, min(width) AS width FROM spans JOIN terms_held USING (query_id, text_key) WHERE n = n_terms GROUP BY ALL),
+judged AS (SELECT query_id, text_key, rank, coalesce(n_terms, 0) AS n_terms, coalesce(width, 0) AS width, coalesce(n_terms, 0) / greatest(len(asked), 1)::DOUBLE * (1 + coalesce(n_terms, 0) / greatest(coalesce(width, 0), 1)::DOUBLE) AS relevance
+  FROM cand LEFT JOIN terms_held USING (query_id, text_key) LEFT JOIN widths USING (query_id, text_key))
+SELECT query_id, text_key, CAST(n_terms AS INTEGER) AS n_terms, CAST(width AS INTEGER) AS width, round(relevance, 9) AS relevance, CAST(again AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS again FROM judged) WHERE again <= 3""")
+def rerank_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best by fusion, ordered by the terms of the query that they hold and how close together these lie."""
+    docs = table(spark, sf_dir, "documents").select(X.text_key("text").alias("text_key"), "text").dropDuplicates(["text_key"])
+    asked = _asked(spark, sf_dir).withColumnRenamed("text", "query")
+    rows = rrf_two_route(spark, sf_dir).where("rank <= 10").join(docs, "text_key").join(asked, "query_id")
+    rows = rows.withColumn("window", fusion.smallest_window(F.col("query"), F.col("text")))
+    best = fusion.rerank(rows, ["query_id"], relevance=fusion.window_score(F.col("window")))
+    return best.select("query_id", "text_key", "window.n_terms", "window.width", F.round("relevance", 9).alias("relevance"), "rank")
+
+
 @query(f"WITH {_HYBRID} SELECT query_id, text_key, score, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank <= 3")
 def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rerank(rrf_two_route(spark, sf_dir), ["query_id"])
