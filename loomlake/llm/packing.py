@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -18,32 +19,35 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import segments, slices, texts_of
+from loomlake.llm.common import segments, slices
 
 CAPACITY = 2048
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Documents that one task packs at once.
 GROUP_ROWS = 20_000
-#: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 1 << 20
+#: Parts of words whose ids a worker remembers before it starts anew.
+CACHE_WORDS = 1 << 19
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 # How a tokenizer must prepare texts so that words between white space are independent of each other.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile(rb"([A-Za-z]+)([,.]?)")
+# Plain words have ASCII and letters of Latin-1 alone, which NFC leaves as they are; SPLIT cuts them like this in lower case.
+_ODD = r"[^!-~À-ÖØ-öø-ÿ]"
+_CUT = r"'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~]+"
 
 
 class TokenIds(dict):
-    """A word between ASCII white space -> its ids, as bytes of little-endian 32-bit numbers.
+    """A part of a word between ASCII white space -> its ids, as bytes of little-endian 32-bit numbers.
 
-    A tokenizer that drops white space and joins nothing across it is asked word by word, and what it said is remembered;
-    ASCII letters go to its model directly, and a comma or stop after them is a word of its own. Strings of added tokens
-    part the text beforehand. Any other tokenizer gets whole texts.
+    A tokenizer that drops white space and joins nothing across it is asked word by word, and each different word of a batch
+    once. Plain words are cut into parts, of which its model is asked; what it said is remembered. All other words, and
+    those with strings of added tokens, are left whole. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str = TOKENIZER):
@@ -61,40 +65,76 @@ class TokenIds(dict):
             and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
             and (made["model"]["type"], made["model"]["dropout"], made["model"].get("ignore_merges")) == ("BPE", None, False)
             and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+            # an added token has no white space and is no part of a plain word
+            and not any(re.search(r"\s", t["content"]) or re.fullmatch(f"[A-Za-zÀ-ÖØ-öø-ÿ]*|{_CUT}", t["content"].lower()) for t in added)
         )
-        self.added = {t["content"].encode(): _bytes([t["id"]]) for t in added}
-        self.parts = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + b")") if added else None
+        self.odd = "|".join([_ODD, *(re.escape(t["content"]) for t in added)])
+        self.is_odd = re.compile(self.odd).search
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, part: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        plain = _PLAIN.fullmatch(word)
-        if plain and not plain[2]:
-            ids = _bytes([t.id for t in self.model.tokenize(word.lower().decode())])
-        elif plain:
-            ids = self[plain[1]] + self[plain[2]]
+        if self.is_odd(part):
+            ids = self._whole(part)
         else:
-            ids = self._whole(word)
-        self[word] = ids
+            ids = _bytes([t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS))])
+        self[part] = ids
         return ids
 
-    def _whole(self, text: bytes) -> bytes:
-        return _bytes(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+    def _whole(self, text: str) -> bytes:
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _each(self, found: pa.Array) -> pa.Array:
+        """The ids of each of found; different ones are looked up once."""
+        coded = found.dictionary_encode()
+        return pa.array([self[x] for x in coded.dictionary.to_numpy(zero_copy_only=False)], pa.large_binary()).take(coded.indices)
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each of words, none of which has white space."""
+        odd = pc.match_substring_regex(words, self.odd)
+        cut = pc.replace_substring_regex(pc.utf8_lower(words), _CUT, r" \0 ")
+        parts = pc.ascii_split_whitespace(pc.if_else(odd, words, cut))
+        return _joined(parts, self._each(parts.flatten()))
 
     def of(self, data: bytes) -> bytes:
         """Ids of a text, and END_ID."""
+        return next(self.of_all(pa.array([data.decode()])))
+
+    def of_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, and END_ID; null is empty. A text alone may be long."""
+        texts, end = texts.cast(pa.large_string()).fill_null(""), _bytes([END_ID])
         if not self.by_word:
-            return self._whole(data) + _bytes([END_ID])
-        parts = self.parts.split(data) if self.parts else [data]
-        # every second part is the string of an added token
-        found = [self.added[x] if k % 2 else b"".join([b"".join([self[w] for w in piece.split()]) for piece in segments(x)]) for k, x in enumerate(parts)]
-        return b"".join(found) + _bytes([END_ID])
+            found = map(self._whole, texts.to_pylist())
+        elif len(texts) == 1:
+            found = [b"".join([x for piece in segments(texts[0].as_py().encode()) for x in self._texts(pa.array([piece], pa.large_binary()).cast(pa.large_string()))])]
+        else:
+            found = self._texts(texts)
+        yield from (x + end for x in found)
+
+    def _texts(self, texts: pa.Array) -> list[bytes]:
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        return _joined(words, self._words(coded.dictionary).take(coded.indices)).to_pylist()
+
+
+def _joined(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """For each list the bytes of its values one after the other; values has those of all lists."""
+    ends = np.append(0, np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False)))
+    ends = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), values.buffers()[2] or pa.py_buffer(b"")])
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _byte_letters() -> dict[int, str]:
+    """byte -> letter: a byte-level vocabulary writes a visible byte as itself, the others as the letters from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in seen)}
 
 
+_LETTERS = _byte_letters()
 _WORKER: dict[str, TokenIds] = {}
 
 
@@ -159,8 +199,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in slices(batches):
             nth, seen = pa.array(range(seen, seen + b.num_rows), pa.int64()), seen + b.num_rows
             sizes, crcs, keys = [], [], []
-            for text in texts_of(b):
-                data = ids.of(text)
+            for data in ids.of_all(b.column("text")):
                 sizes.append(len(data) // 4)
                 crcs.append([zlib.crc32(data[4 * s : 4 * (s + n)]) for s, n in pieces_of(sizes[-1])])
                 keys.append(zlib.crc32(data))

@@ -91,6 +91,34 @@ def test_token_ids_of_odd_strings():
     assert not other.by_word and np.frombuffer(other.of("Hello  World".encode()), "<u4").tolist()[:-1] == Tokenizer.from_file(path).encode("Hello  World", add_special_tokens=False).ids
 
 
+def test_plain_words_are_cut_without_the_whole_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain, mine, rng, asked = Tokenizer.from_file(packing.TOKENIZER), packing.TokenIds(), random.Random(4), []
+    whole = mine._whole
+    monkeypatch.setattr(mine, "_whole", lambda text: asked.append(text) or whole(text))
+    words = ["the", "The", "THE!!", "für", "FÜR,", "ção...", "the&&&", "don't", "'tis", "''s", "BY-NC", "4.0.", "a1b22", "x@y.z", "<|ENDOFTEXT|>", "ßÿÞ'RE", "\\|[]{}^_`~", "|"]
+    for _ in range(300):
+        s = "".join(rng.choice(words) + rng.choice([" ", "\n", "\t ", "\x0b", "\x0c\r", ""]) for _ in range(20))
+        assert np.frombuffer(mine.of(s.encode()), "<u4").tolist() == [*plain.encode(s, add_special_tokens=False).ids, packing.END_ID], s
+    assert asked == []
+
+
+def test_token_ids_of_a_batch(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain, mine = Tokenizer.from_file(packing.TOKENIZER), packing.TokenIds()
+    texts = ["first", None, "", " \n ", "T\u0308 t\u0308 K\u212a", "a<|endoftext|>B", " für  Für, don't", "\u2019s a\u2003b 1\u00bd2", "first first"]
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    for batch, expected in [(pa.array(texts), want), (pa.array(texts).slice(3, 5), want[3:8]), (pa.array(texts, pa.large_string())[:0], [])]:
+        assert [np.frombuffer(x, "<u4").tolist() for x in mine.of_all(batch)] == expected
+    # a long text is taken in segments
+    monkeypatch.setattr(common, "SEGMENT_BYTES", 16)
+    text = " ".join(f"{t or ''} Größe{k}, {'x' * k}" for k, t in enumerate(texts * 4))
+    assert np.frombuffer(mine.of(text.encode()), "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
 def all_segmentations(v, words=secrets.DICTIONARY):
     low, n = v.lower(), len(v)
     plain = low.translate(secrets._LEET)
