@@ -96,7 +96,8 @@ def markdown_html(text: str | Column) -> Column:
 
 
 def data_url(path: str | Column, content: str | Column) -> Column:
-    """An image as a data URL; unknown extensions count as png."""
+    """An image as a data URL; unknown extensions count as png. Spark may break long base64 into lines: a URL has none."""
     ext = F.lower(F.regexp_extract(_col(path), r"\.([A-Za-z0-9]+)$", 1))
     mime = F.when(ext == "jpg", "jpeg").when(ext.isin("png", "jpeg", "gif", "bmp", "webp"), ext).otherwise("png")
-    return F.concat(F.lit("data:image/"), mime, F.lit(";base64,"), F.base64(_col(content)))
+    whole = F.replace(F.base64(_col(content)), F.lit("\r\n"), F.lit(""))
+    return F.concat(F.lit("data:image/"), mime, F.lit(";base64,"), whole)
