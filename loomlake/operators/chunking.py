@@ -176,11 +176,13 @@ def page_table_chunks(tables: DataFrame) -> DataFrame:
     The first row is the header; short rows are filled; a table without a first row, or with a blank one, goes. The counts
     of rows and columns are those of the Markdown text: lines less one, and half of its bars less one.
     """
-    width = F.array_max(F.transform("cells", F.size))
     kept = tables.where((F.size("cells") > 0) & F.exists(F.col("cells")[0], lambda c: F.coalesce(c, F.lit("")) != ""))
     clean = F.transform("cells", lambda r: F.transform(r, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))))
-    lines = F.transform(clean, lambda r: markdown_row(padded(r, width)))
-    text = F.concat_ws("\n", F.element_at(lines, 1), markdown_row(F.array_repeat(F.lit("---"), width)), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"))
+    # the width stands in an array of one, so that it is found once and not again for each row
+    table = F.struct(clean.alias("cells"), F.array_max(F.transform("cells", F.size)).alias("width"))
+    lines = lambda t: F.transform(t["cells"], lambda r: markdown_row(padded(r, t["width"])))
+    made = F.transform(F.array(table), lambda t: F.struct(lines(t).alias("lines"), markdown_row(F.array_repeat(F.lit("---"), t["width"])).alias("rule")))
+    text = F.transform(made, lambda m: F.concat_ws("\n", m["lines"][0], m["rule"], F.array_join(F.slice(m["lines"], F.lit(2), F.size(m["lines"])), "\n")))[0]
     rows = kept.withColumn("page_content", strip(text))
     count = lambda c: F.length("page_content") - F.length(F.replace("page_content", F.lit(c), F.lit("")))
     heading = F.concat(F.lit("第"), F.col("page_no").cast("string"), F.lit("页 - 表格 "), (F.col("table_no") + 1).cast("string"))
