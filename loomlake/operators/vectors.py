@@ -1,6 +1,6 @@
 """Exact nearest neighbours of a batch of query vectors.
 
-Each Arrow batch of vectors meets a block of queries as one matrix product and keeps its own best k, so what is shuffled
+Each Arrow batch of vectors meets a block of queries as one matrix product and a task keeps its own best k, so what is shuffled
 is k rows for each query and task, whatever the number of vectors. Query vectors come from Spark block by block.
 """
 
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.operators.best import Best
 from loomlake.operators.bm25 import top_k
 
 #: Query vectors that are held at once, and vectors that meet them at once.
@@ -53,6 +54,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
+            best = Best(len(ids), k)
             for whole in batches:
                 for at in range(0, whole.num_rows if len(ids) else 0, VECTOR_BLOCK):
                     b = whole.slice(at, VECTOR_BLOCK)
@@ -62,11 +64,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "
                         s = np.round(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * dots, 0), 6)
                     else:
                         s = -np.round(dots / np.maximum(np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None], 1e-300), 6)
-                    best = [_best(own, docs, k) for own in s]
-                    sizes = [len(x) for x in best]
-                    every = np.concatenate(best)
-                    scores = np.concatenate([own[x] for own, x in zip(s, best, strict=True)]) * (1 if metric == "l2" else -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(docs[every]), pa.array(scores + 0.0)], names=["query_id", "doc", "score"])
+                    best.add(s, docs)
+            at, scores, docs = best.entries()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(docs), pa.array(scores * (1 if metric == "l2" else -1) + 0.0)], names=["query_id", "doc", "score"])
 
         return rows.mapInArrow(near, "query_id long, doc long, score double")
 
