@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions.text import text_key, tokens
-from loomlake.operators import bm25, fusion, terms, vectors
+from loomlake.operators import bm25, fusion, scan, terms, vectors
+from loomlake.plans.staging import sent, staged
 
 DIMS = 256
 
@@ -69,10 +70,9 @@ def retrieve(
         again = terms.rewrite(queries, dictionary, segment or tokenize).where("rewritten <> query")
         variants = variants.union(again.select("query_id", F.lit(1), "rewritten"))
     ids = F.col("query_id") * 2 + F.col("variant")
-    asked = variants.select(ids.alias("query_id"), "text")
+    asked = staged(variants.select(ids.alias("query_id"), "text"))
     if lexical is None:
-        index = index or bm25.index_for(chunks, asked, "chunk", "page_content", tokenize)
-        found = bm25.bm25_top(index, asked, top_n, tokenize=tokenize)
+        found = bm25.bm25_top(index, asked, top_n, tokenize=tokenize) if index else scan.bm25_top(chunks, asked, top_n, "chunk", "page_content", tokenize=tokenize)
     else:
         found = lexical(asked, top_n)
     hits = found.select("query_id", "doc", F.lit(1).alias("route"), "rank")
@@ -82,12 +82,13 @@ def retrieve(
         near = vectors.nearest(stored, asked.select("query_id", embed("text").alias("embedding")), top_n, id_col="chunk")
         hits = near.select("query_id", "doc", F.lit(0).alias("route"), "rank").union(hits)
     keyed = chunks if "text_key" in chunks.columns else chunks.withColumn("text_key", text_key("page_content"))
-    hits = hits.join(keyed.select(F.col("chunk").alias("doc"), "text_key"), "doc")
+    hits = staged(hits)
+    hits = keyed.select(F.col("chunk").alias("doc"), "text_key").join(sent(hits), "doc")
     inner = fusion.rrf(hits, ["query_id"])
     outer = inner.select(F.floor(F.col("query_id") / 2).alias("query_id"), "text_key", (F.col("query_id") % 2).cast("int").alias("route"), "rank")
-    fused = fusion.rrf(outer, ["query_id"]).where(F.col("rank") <= top_n)
-    first = keyed.select("chunk", "text_key").join(fused.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("chunk").alias("chunk"))
-    found = fused.join(first, "text_key").join(chunks.drop("text_key"), "chunk")
+    fused = staged(fusion.rrf(outer, ["query_id"]).where(F.col("rank") <= top_n))
+    first = keyed.select("chunk", "text_key").join(sent(fused.select("text_key").distinct()), "text_key", "left_semi").groupBy("text_key").agg(F.min("chunk").alias("chunk"))
+    found = chunks.drop("text_key").join(sent(staged(fused.join(first, "text_key"))), "chunk")
     if relevance is None:
         return fusion.rerank(found, ["query_id"], top_n, top_k).drop("text_key")
     found = found.join(queries.select("query_id", "query"), "query_id")
