@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlake.operators import grams
+from loomlake.plans.staging import staged
+
 RUN = "[一-鿿]+"
 #: Characters of a word at most, occurrences of one at least, and words of a dictionary at most (the most frequent ones).
 LONGEST, MIN_COUNT, MAX_WORDS = 6, 5, 1 << 18
 #: Least logarithm of a word's count against that of its parts, and least entropy of its neighbours on each side.
 COHESION, FREEDOM = 2.5, 0.7
+
 #: Runs that a worker remembers before it starts anew.
 CACHE_RUNS = 1 << 16
 #: The text is tokens of Chinese words, of ASCII letters, digits and underscores, and of single other visible characters.
@@ -38,10 +42,13 @@ def run_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def gram_counts(runs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(gram, n): the parts of up to longest + 1 characters of runs (run, n); one more than words have, for their neighbours."""
-    size = F.length("run")
-    of_length = lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substr("run", i, k))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(longest + 1))), of_length))
-    return runs.select("n", F.explode(grams).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n"))
+    return grams.counts(runs, "run", longest + 1, "n")
+
+
+def text_gram_counts(docs: DataFrame, text_col: str = "text", longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
+    """The same of the runs of docs, without those that decide nothing on words of min_count: of two characters or more, found
+    once. Computed once and written, as word_statistics reads them again and again."""
+    return staged(grams.counts(docs, text_col, longest + 1, least=min(2, min_count)))
 
 
 def word_statistics(counts: DataFrame, total: int, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
@@ -52,9 +59,11 @@ def word_statistics(counts: DataFrame, total: int, min_count: int = MIN_COUNT, l
     often = counts.where((F.length("gram") >= 2) & (F.length("gram") <= longest) & (F.col("n") >= min_count)).withColumnsRenamed({"gram": "word"})
     parts = often.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k"))
     parts = parts.select("word", F.substr("word", F.lit(1), F.col("k")).alias("a"), F.substr("word", F.col("k") + 1).alias("b"))
-    both = parts.join(counts.select(F.col("gram").alias("a"), F.col("n").alias("n_a")), "a").join(counts.select(F.col("gram").alias("b"), F.col("n").alias("n_b")), "b")
+    # a part is found as often as its word at least
+    known = counts.where(F.col("n") >= min_count)
+    both = parts.join(known.select(F.col("gram").alias("a"), F.col("n").alias("n_a")), "a").join(known.select(F.col("gram").alias("b"), F.col("n").alias("n_b")), "b")
     apart = both.groupBy("word").agg(F.max(F.col("n_a").cast("double") * F.col("n_b")).alias("apart"))
-    longer = counts.where(F.length("gram") >= 3)
+    longer = counts.where((F.length("gram") >= 3) & (F.col("n") >= 2))  # n log n is 0 of others
     spread = F.sum(F.col("n") * F.log("n"))
     right = longer.groupBy(F.expr("left(gram, length(gram) - 1)").alias("word")).agg(spread.alias("right"))
     left = longer.groupBy(F.expr("right(gram, length(gram) - 1)").alias("word")).agg(spread.alias("left"))
@@ -74,7 +83,7 @@ def weighted(words: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
 
 def fit_words(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT, cohesion: float = COHESION, freedom: float = FREEDOM, longest: int = LONGEST, max_words: int = MAX_WORDS) -> DataFrame:
     """(word, n, weight): the dictionary of docs; all single characters are words too. Without Chinese text it is empty."""
-    counts = gram_counts(run_counts(docs, text_col), longest)
+    counts = text_gram_counts(docs, text_col, longest, min_count)
     single = counts.where(F.length("gram") == 1)
     total = single.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = word_statistics(counts, total, min_count, longest).where((F.col("cohesion") >= cohesion) & (F.least("left_freedom", "right_freedom") >= freedom))
