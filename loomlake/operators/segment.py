@@ -10,7 +10,6 @@ numbers (millionths of the logarithm of a word's share), so that sums have no ro
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.operators import grams
+from loomlake.operators.lattice import Lattice
 from loomlake.plans.staging import staged
 
 RUN = "[一-鿿]+"
@@ -26,11 +26,6 @@ LONGEST, MIN_COUNT, MAX_WORDS = 6, 5, 1 << 18
 #: Least logarithm of a word's count against that of its parts, and least entropy of its neighbours on each side.
 COHESION, FREEDOM = 2.5, 0.7
 
-#: Runs that a worker remembers before it starts anew.
-CACHE_RUNS = 1 << 16
-#: The text is tokens of Chinese words, of ASCII letters, digits and underscores, and of single other visible characters.
-_PIECE = re.compile(rf"{RUN}|[A-Za-z0-9_]+|\S")
-
 WORDS = "word string, n long, weight long"
 
 
@@ -134,25 +129,10 @@ def segmenter(words: DataFrame) -> Callable[[str | Column], Column]:
     weights = dict(zip(rows.column("word").to_pylist(), rows.column("weight").to_pylist(), strict=True))
     longest = max(map(len, weights), default=1)
     unknown = min(weights.values(), default=0) - 1_000_000
-    sent = spark.sparkContext.broadcast((weights, longest, unknown))
-    chinese = re.compile(RUN)
+    sent = spark.sparkContext.broadcast(Lattice(weights, longest, unknown))
 
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, list[str]] = {}
         for texts in batches:
-            out = []
-            for text in texts.to_pylist():
-                tokens: list[str] = []
-                for piece in _PIECE.findall(text or ""):
-                    if not chinese.match(piece):
-                        tokens.append(piece)
-                        continue
-                    if piece not in known:
-                        if len(known) >= CACHE_RUNS:
-                            known.clear()
-                        known[piece] = best_path(piece, *sent.value)
-                    tokens += known[piece]
-                out.append(tokens)
-            yield pa.array(out, pa.list_(pa.string()))
+            yield sent.value.tokens(texts.to_pylist())
 
     return lambda text: F.arrow_udf(cut, "array<string>")((F.col(text) if isinstance(text, str) else text).cast("string"))
