@@ -39,19 +39,23 @@ class BlockIndex:
 
     def build(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Writes the index of docs; null texts have no terms, ids are taken as unique."""
-        index = bm25.build_index(docs, id_col, text_col, self.tokenize)
-        index.corpus_stats.write.mode("overwrite").parquet(f"{self.path}/corpus")
+        toks = lambda c: self.tokenize(F.coalesce(F.col(c), F.lit("")))
+        rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.size(toks(text_col)).cast("long").alias("dl"))
+        rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{self.path}/corpus")
         size_class = F.floor(F.log(F.greatest("dl", F.lit(1))) / F.log(F.lit(CLASS_STEP))).cast("int")
-        postings = index.postings.withColumn("class", size_class)
+        rows = rows.where("dl > 0").withColumn("class", size_class)
         # a row for each class of lengths; there are about 100
-        sizes = postings.groupBy("class").agg(F.approx_count_distinct("doc").alias("docs_of_class"))
-        rows = postings.join(F.broadcast(sizes), "class")
+        sizes = rows.groupBy("class").agg(F.count("*").alias("docs_of_class"))
+        rows = rows.join(F.broadcast(sizes), "class")
         rows = rows.withColumn("split", F.pmod(F.xxhash64("doc"), F.ceil(F.col("docs_of_class") / RANGE_DOCS)))
+        # the documents of a range meet, and their postings are made there: one shuffle, of the texts
+        postings = rows.select("doc", "dl", *RANGE, "text").repartition(*RANGE).select("doc", "dl", *RANGE, F.explode(toks("text")).alias("term")).groupBy("term", *RANGE, "doc", "dl").agg(F.count("*").alias("tf"))
         entries = F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("e")
-        blocks = rows.groupBy("term", *RANGE).agg(entries, F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+        blocks = postings.groupBy("term", *RANGE).agg(entries, F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
         lists = [F.col(f"e.{c}").alias(f"{c}s") for c in ("doc", "tf", "dl")]
         blocks = blocks.select("term", *RANGE, *lists, "n", "max_tf", "min_dl")
-        blocks.repartitionByRange("term", *RANGE).sortWithinPartitions("term", *RANGE).write.mode("overwrite").parquet(f"{self.path}/blocks")
+        # each file has its own order of terms, by which readers skip its row groups
+        blocks.sortWithinPartitions("term", *RANGE).write.mode("overwrite").parquet(f"{self.path}/blocks")
         df = self.blocks().groupBy("term").agg(F.sum("n").alias("df"))
         df.orderBy("term").write.mode("overwrite").parquet(f"{self.path}/frequencies")
 
